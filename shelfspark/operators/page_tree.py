@@ -118,7 +118,12 @@ def _as_struct(node: list, base: int) -> dict:
     }
 
 
-def _blocks(html: str, root: tuple[str | None, str, str] | None) -> Iterator[tuple[str, list[dict]]]:
+# (tag, attribute, pattern): an element with that tag whose attribute holds the pattern.
+# No tag is any element; no attribute is any element of the tag.
+Root = tuple[str | None, str | None, str]
+
+
+def _blocks(html: str, root: Root | None) -> Iterator[tuple[str, list[dict]]]:
     """(source, nodes) of the whole page, or of every element ``root`` accepts."""
     nodes = _Flattener(html).nodes
     if root is None:
@@ -128,7 +133,7 @@ def _blocks(html: str, root: tuple[str | None, str, str] | None) -> Iterator[tup
     for node in nodes:
         if node[4] is None or (tag is not None and node[3] != tag):
             continue
-        value = dict(node[4]).get(attr)
+        value = "" if attr is None else dict(node[4]).get(attr)
         if value is not None and pattern.search(value):
             inside = nodes[node[0] : node[1] + 1]
             yield html[node[6] : node[7]], [_as_struct(n, node[0]) for n in inside]
@@ -138,13 +143,12 @@ def page_nodes(
     pages: DataFrame,
     keys: list[str],
     html: str = "html",
-    root: tuple[str | None, str, str] | None = None,
+    root: Root | None = None,
     keep_source: bool = False,
 ) -> DataFrame:
     """One row per page (``root=None``) or 0..n rows per page, one per matching element.
 
-    ``root`` is (tag or None, attribute, pattern searched in its value). Output columns: the
-    keys, ``block`` (ordinal within the page), ``source`` if kept, ``nodes``. Only keys and html
+    Output columns: the keys, ``block`` (ordinal within the page), ``source`` if kept, ``nodes``. Only keys and html
     travel to Python; narrow or filter the input first.
     """
     kept = [f for f in pages.schema if f.name in keys]

@@ -331,7 +331,7 @@ def listing_cards(pages: DataFrame, keys: list[str], variant: str = "adv") -> Da
     return page_nodes(pages, keys, root=root, keep_source=True)
 
 
-def _title_link(nodes: Column) -> Column:
+def title_link(nodes: Column) -> Column:
     def href(*patterns: str):
         def test(n: Column) -> Column:
             ok = n["tag"] == "a"
@@ -380,7 +380,7 @@ def card_records(cards: DataFrame, profile: SiteProfile, keys: list[str]) -> Dat
     )
     price_tag = M.find(n, M.tagged("span", "data-test", S.CURRENT_PRICE))
     staged = (
-        cards.withColumn("_link", _title_link(n))
+        cards.withColumn("_link", title_link(n))
         .withColumn("_url", T.strip(M.attr(F.col("_link"), "href")))
         .filter(F.contains("_url", F.lit("/A-")))
         .withColumn("title", card_title(n, F.col("_link")))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from shelfspark.plans import (  # noqa: F401
+    catalog_queries,
+    io_queries,
     nested_queries,
+    page_queries,
     text_queries,
+    vector_queries,
 )
 
-flagship = None
+flagship = vector_queries.flagship

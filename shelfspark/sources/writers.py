@@ -5,12 +5,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Iterator
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shelfspark.functions.nested import run_label
+from shelfspark.session import scratch
 from shelfspark.sources.codec import to_file_rows
 
 
@@ -22,39 +23,70 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
 write_jsonl = write_json
 
 
+def write_json_documents(df: DataFrame, path: str, wrapper: str | None = None) -> None:
+    """Whole JSON documents, one per task: a list, or ``{"<wrapper>": [...]}``.
+
+    A document can only be read by one task, so JSON lines are the form for large catalogs.
+    """
+    start = "[" if wrapper is None else f'{{"{wrapper}": ['
+    end = "]" if wrapper is None else "]}"
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = start
+        for batch in batches:
+            lines = []
+            for value in batch.column(0):
+                lines.append(lead + value.as_py())
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        closing = end if lead == "," else start + end
+        yield pa.RecordBatch.from_arrays([pa.array([closing])], names=["value"])
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(framed, "value string").write.text(path)
+
+
+def _csv(writer: DataFrameWriter) -> DataFrameWriter:
+    # Spark's writer would otherwise trim blanks off the values
+    return (
+        writer.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> bool:
     """CSV with a header. An empty catalog writes nothing and only warns."""
     if df.isEmpty():
         warnings.warn("No products to save", stacklevel=2)
         return False
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    _csv(df.write.mode(mode)).csv(path)
     return True
 
 
 def write_snapshot(df: DataFrame, root: str, run: str = "run_ts", latest: bool = True) -> None:
-    """Every format under its run, plus an overwritten ``latest`` copy.
+    """Every format under its run (``root/json``, ``root/csv``), plus an overwritten ``latest`` copy.
 
-    ``df`` has a time column ``run`` and typed nested columns. The rows are serialised once and
-    kept while the formats are written.
+    ``df`` has a time column ``run``. It is computed once into a staging table in the shared
+    folder; the formats are written from there. Rebalancing by run keeps one file per small run
+    and splits a run that is much larger than the others.
     """
+    spark = df.sparkSession
+    staged = scratch(spark, "snapshot")
     labelled = to_file_rows(df.withColumn(run, run_label(F.col(run))))
-    rows = labelled.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for name in ("json", "jsonl"):
-            rows.write.mode("append").partitionBy(run).option("ignoreNullFields", False).json(
-                f"{root}/{name}"
-            )
-        csv = rows.write.mode("append").partitionBy(run).option("header", True).option("escape", '"')
-        csv.csv(f"{root}/csv")
-        if latest:
-            newest = rows.agg(F.max(run).alias("_newest"))
-            last = rows.join(F.broadcast(newest), F.col(run) == F.col("_newest")).drop("_newest")
-            write_json(last, f"{root}/latest/json", mode="overwrite")
-            last.write.mode("overwrite").option("header", True).option("escape", '"').csv(
-                f"{root}/latest/csv"
-            )
-    finally:
-        rows.unpersist()
+    labelled.hint("rebalance", run).write.partitionBy(run).parquet(staged)
+    # the label is digits and an underscore, and must stay text
+    columns = StructType([f for f in labelled.schema if f.name != run] + [StructField(run, StringType())])
+    rows = spark.read.schema(columns).parquet(staged)
+    by_run = rows.hint("rebalance", run)
+    by_run.write.mode("append").partitionBy(run).option("ignoreNullFields", False).json(f"{root}/json")
+    _csv(by_run.write.mode("append").partitionBy(run)).csv(f"{root}/csv")
+    if latest:
+        newest = rows.agg(F.max(run).alias("_newest"))  # a single row
+        last = rows.join(F.broadcast(newest), F.col(run) == F.col("_newest")).drop("_newest")
+        write_json(last, f"{root}/latest/json", mode="overwrite")
+        _csv(last.write.mode("overwrite")).csv(f"{root}/latest/csv")
 
 
 def read_collection(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -121,7 +121,7 @@ def texts_of(nodes: Column, found: Column) -> Column:
 
 def or_else(*options: Column) -> Column:
     """First option that is neither null nor empty."""
-    return F.coalesce(*[blank_to_null(o) for o in options])
+    return F.coalesce(*[let(o, blank_to_null) for o in options])
 
 
 # -- flat patterns straight on the HTML text: no tree, no Python ------------------------------

@@ -84,25 +84,30 @@ def description_without_bullets(
     ``spaced=False`` compares with all spaces removed, which also catches blocks whose bullets
     ran together without separators.
     """
-    body = F.lower(
-        strip(
-            F.when(
-                F.instr(text, heading) > 0,
-                F.concat(
-                    F.substring_index(text, heading, 1),
-                    F.substring(
-                        text, F.instr(text, heading) + F.lit(len(heading)), F.length(text)
-                    ),
-                ),
-            ).otherwise(text)
+
+    def squeezed(c: Column) -> Column:
+        return c if spaced else F.regexp_replace(c, r"\s+", "")
+
+    def body_of(t: Column) -> Column:
+        at = F.instr(t, heading)
+        rest = F.concat(
+            F.substring(t, F.lit(1), at - 1), F.substring(t, at + len(heading), F.length(t))
+        )
+        return squeezed(F.lower(strip(F.when(at > 0, rest).otherwise(t))))
+
+    joined = squeezed(F.array_join(F.transform(highlights, lambda h: F.lower(strip(h))), " "))
+
+    def repeats(body: Column) -> Column:
+        return (F.length(body) > 15) & let(
+            joined, lambda j: F.contains(body, j) | F.contains(j, body)
         )
+
+    return let(
+        text,
+        lambda t: F.when(
+            (F.size(highlights) > 0) & let(body_of(t), repeats), F.lit(heading)
+        ).otherwise(t),
     )
-    joined = F.array_join(F.transform(highlights, lambda h: F.lower(strip(h))), " ")
-    if not spaced:
-        body = F.regexp_replace(body, r"\s+", "")
-        joined = F.regexp_replace(joined, r"\s+", "")
-    same = (F.length(body) > 15) & (F.contains(body, joined) | F.contains(joined, body))
-    return F.when((F.size(highlights) > 0) & same, F.lit(heading)).otherwise(text)
 
 
 # -- maps of specifications -------------------------------------------------------------------

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from shelfspark.functions.text import blank_to_null
+from shelfspark.functions.text import blank_to_null, let
 
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -62,9 +62,11 @@ def comparison_price(c: Column) -> Column:
 
 def price_with_fallback(tagged: Column, texts: Column) -> Column:
     """``adv`` price of the tagged text; if that is 0, of the first text with ``$`` and a digit."""
-    first = price_adv(F.coalesce(tagged, F.lit("0")))
     other = F.get(F.filter(texts, lambda t: t.rlike(r"\$\s*[0-9]")), F.lit(0))
-    return F.when(first == 0, price_adv(F.coalesce(other, F.lit("0")))).otherwise(first)
+    return let(
+        price_adv(F.coalesce(tagged, F.lit("0"))),
+        lambda first: F.when(first == 0, price_adv(F.coalesce(other, F.lit("0")))).otherwise(first),
+    )
 
 
 def regular_or_current(regular: Column, current: Column) -> Column:
@@ -91,13 +93,19 @@ def round_one_place(x: Column) -> Column:
     less than 0.35) into 0.4. The tie point nearest to x is known as t = (2n + 1) / 20; when x
     equals t, the sign of t's own error (exact, by two exact subtractions) says which side x is on.
     """
-    n = F.floor(x * 10).cast("double")
-    n = F.when(n / 10 > x, n - 1).otherwise(n)
-    odd = 2 * n + 1
-    t = odd / 20
-    error = (t * 16 - odd) + t * 4
-    up = F.when(x != t, x > t).when(error != 0, error > 0).otherwise(n % 2 == 1)
-    return (n + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / 10
+
+    def nearest(x: Column, n: Column) -> Column:
+        odd = 2 * n + 1
+        t = odd / 20
+        error = (t * 16 - odd) + t * 4
+        up = F.when(x != t, x > t).when(error != 0, error > 0).otherwise(n % 2 == 1)
+        return (n + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / 10
+
+    def tenths(x: Column) -> Column:
+        n = F.floor(x * 10).cast("double")
+        return F.when(n / 10 > x, n - 1).otherwise(n)
+
+    return let(x, lambda v: let(tenths(v), lambda n: nearest(v, n)))
 
 
 def discount_rounded(current: Column, regular: Column) -> Column:

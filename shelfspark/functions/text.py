@@ -21,7 +21,10 @@ _URL = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
 
 def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside one expression."""
+    """Evaluate ``value`` once and use it several times inside one expression.
+
+    Without it, every mention in a branch of a ``when`` is evaluated again.
+    """
     return F.get(F.transform(F.array(value), body), 0)
 
 
@@ -56,10 +59,15 @@ def is_product_url(url: Column, host: str) -> Column:
 
 def cut_at_word(c: Column, limit: int = MAX_DOCUMENT_CHARS) -> Column:
     """Cut text over ``limit`` code points back to its last space, or hard if that leaves nothing."""
-    head = F.left(c, F.lit(limit))
-    kept = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
-    cut = F.coalesce(blank_to_null(F.left(head, kept)), head)
-    return F.when(F.length(c) > limit, cut).otherwise(c)
+
+    def cut(head: Column) -> Column:
+        kept = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
+        return F.coalesce(blank_to_null(F.left(head, kept)), head)
+
+    return let(
+        c,
+        lambda t: F.when(F.length(t) > limit, let(F.left(t, F.lit(limit)), cut)).otherwise(t),
+    )
 
 
 def embed_text(c: Column) -> Column:
@@ -76,9 +84,10 @@ def document_text(
     bullets: Column,
 ) -> Column:
     """One searchable string: non-empty parts joined by a space, cut at a word, stripped."""
-    plain = [blank_to_null(safe_str(c)) for c in (title, brand, description, material)]
-    listed = [F.translate(blank_to_null(safe_str(c)), "|", " ") for c in (highlights, bullets)]
-    return strip(cut_at_word(F.concat_ws(" ", *plain, *listed)))
+    plain = [safe_str(c) for c in (title, brand, description, material)]
+    listed = [F.translate(safe_str(c), "|", " ") for c in (highlights, bullets)]
+    parts = F.filter(F.array(*plain, *listed), lambda part: part != "")
+    return strip(cut_at_word(F.array_join(parts, " ")))
 
 
 def first_image_url(images: Column) -> Column:
@@ -127,7 +136,6 @@ def _without_dot_segments(path: Column) -> Column:
 
 def resolve_url(href: Column, base: str) -> Column:
     """Resolve a link against a fixed base page (control characters around it go first)."""
-    href = F.ltrim(F.translate(href, "\t\r\n", ""), F.lit("".join(map(chr, range(1, 33)))))
     scheme, rest = base.split("://", 1)
     host, _, path = rest.partition("/")
     root = f"{scheme}://{host}"
@@ -143,14 +151,18 @@ def resolve_url(href: Column, base: str) -> Column:
         ).otherwise(full_path)
         return F.concat(F.lit(root), tidy)
 
-    return (
-        F.when(href == "", F.lit(base))
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.lit(scheme + ":"), href))
-        .when(href.startswith("/"), resolved(href))
-        .when(href.startswith("?") | href.startswith("#"), F.concat(F.lit(root + page), href))
-        .otherwise(resolved(F.concat(F.lit(folder), href)))
-    )
+    def by_form(h: Column) -> Column:
+        return (
+            F.when(h == "", F.lit(base))
+            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+            .when(h.startswith("//"), F.concat(F.lit(scheme + ":"), h))
+            .when(h.startswith("/"), resolved(h))
+            .when(h.startswith("?") | h.startswith("#"), F.concat(F.lit(root + page), h))
+            .otherwise(resolved(F.concat(F.lit(folder), h)))
+        )
+
+    controls = F.lit("".join(map(chr, range(1, 33))))
+    return let(F.ltrim(F.translate(href, "\t\r\n", ""), controls), by_form)
 
 
 def drop_fragment(url: Column) -> Column:

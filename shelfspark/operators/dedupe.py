@@ -87,11 +87,8 @@ def reason_counts(flagged: DataFrame) -> DataFrame:
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys with more than 1/share of all rows: fewer than ``share`` of them, whatever the data."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return (
-        counts.join(F.broadcast(total), F.col("_n") * share > F.col("_total"))
-        .select(F.col(key).alias("_hot"))
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.filter(F.col("_n") * share > total).select(F.col(key).alias("_hot"))
 
 
 def price_history(

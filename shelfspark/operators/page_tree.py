@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,102 +20,99 @@ NODES_DDL = (
     "array<struct<pos:int,last:int,depth:int,tag:string,"
     "attrs:map<string,string>,text:string>>"
 )
-_NODES_ARROW = pa.list_(
-    pa.struct(
-        [
-            ("pos", pa.int32()),
-            ("last", pa.int32()),
-            ("depth", pa.int32()),
-            ("tag", pa.string()),
-            ("attrs", pa.map_(pa.string(), pa.string())),
-            ("text", pa.string()),
-        ]
-    )
-)
 # HTML elements without content, and elements whose text is not page text.
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 _RAW = frozenset(("script", "style", "template"))
 _CHARS_PER_BATCH = 2 << 20
+SMALL_INPUT_BYTES = 64 << 20
+
+
+# One token of markup. Possessive repeats: no input makes the match run long.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+|=)*+"""
+_TOKEN = re.compile(
+    rf"""<!--(?P<comment>.*?)(?:-->|\Z)
+      |<(?P<raw>script|style)(?P<raw_attrs>(?=[\s>]){_ATTRIBUTES})>(?P<body>.*?)(?=</(?P=raw)[\s/>]|\Z)
+      |<(?P<open>[a-z][^\s/>]*+)(?P<attrs>{_ATTRIBUTES})>
+      |</(?P<close>[a-z][^\s/>]*+)[^>]*+>
+      |<[!?/][^>]*+>
+      |(?P<text>[^<]++|<)""",
+    re.S | re.I | re.X,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+
+
+def _attributes(source: str) -> list[tuple[str, str]]:
+    found = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1:
+            value = value[1:-1]
+        found[name.lower()] = unescape(value) if "&" in value else value
+    return list(found.items())
+
+
+def _self_closing(source: str) -> bool:
+    ends = [m.end() for m in _ATTRIBUTE.finditer(source)]
+    return source[ends[-1] if ends else 0 :].endswith("/")
+
+
+def flatten(html: str) -> list[list]:
+    """Nodes of a page: [pos, last, depth, tag, attrs, text, source_start, source_end].
 
+    Elements left open end with their parent; an end tag closes up to the nearest element of its
+    name, and nothing if there is none.
+    """
+    nodes: list[list] = []
+    open_: list[list] = []
+    texts: list[str] = []  # pieces of the text run being read
 
-class _Flattener(HTMLParser):
-    """Fills ``nodes`` with [pos, last, depth, tag, attrs, text, source_start, source_end]."""
-
-    def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []
-        self._open: list[list] = []
-        self._html = html
-        self._text_goes_on = False
-        self._line_starts = [0] + [m.end() for m in re.finditer("\n", html)]
-        try:
-            self.feed(html)
-            self.close()
-        except (AssertionError, ValueError):
-            self.nodes, self._open = [], []  # unreadable markup holds no records
-        while self._open:
-            self._shut(len(html))
-
-    def _offset(self) -> int:
-        line, column = self.getpos()
-        return self._line_starts[line - 1] + column
-
-    def _add(self, tag, attrs, text, start: int = 0, end: int = 0) -> list:
-        node = [len(self.nodes), len(self.nodes), len(self._open), tag, attrs, text, start, end]
-        self.nodes.append(node)
-        self._text_goes_on = False
+    def add(tag, attrs, text, start, end):
+        node = [len(nodes), len(nodes), len(open_), tag, attrs, text, start, end]
+        nodes.append(node)
         return node
 
-    def _shut(self, end: int) -> None:
-        node = self._open.pop()
-        node[1] = len(self.nodes) - 1
+    def end_text():
+        run = "".join(texts)
+        texts.clear()
+        raw = open_ and open_[-1][3] in _RAW
+        add("#raw" if raw else "#text", None, unescape(run) if "&" in run else run, 0, 0)
+
+    def shut(end):
+        node = open_.pop()
+        node[1] = len(nodes) - 1
         node[7] = end
 
-    def handle_starttag(self, tag, attrs):
-        start = self._offset()
-        pairs = list({k: v or "" for k, v in attrs}.items())
-        node = self._add(tag, pairs, None, start, start + len(self.get_starttag_text()))
-        if tag not in _VOID:
-            self._open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self._shut(self._open[-1][7])
-
-    def handle_endtag(self, tag):
-        self._text_goes_on = False
-        if all(node[3] != tag for node in self._open):
-            return
-        start = self._offset()
-        end = self._html.find(">", start) + 1 or len(self._html)
-        while self._open[-1][3] != tag:
-            self._shut(start)
-        self._shut(end)
-
-    def handle_data(self, data):
-        if self._text_goes_on:
-            self.nodes[-1][5] += data  # the parser hands long runs over in pieces
-            return
-        raw = self._open and self._open[-1][3] in _RAW
-        self._add("#raw" if raw else "#text", None, data)
-        self._text_goes_on = True
-
-    def handle_comment(self, data):
-        self._add("#comment", None, data)
-
-
-def _as_struct(node: list, base: int) -> dict:
-    return {
-        "pos": node[0] - base,
-        "last": node[1] - base,
-        "depth": node[2],
-        "tag": node[3],
-        "attrs": node[4],
-        "text": node[5],
-    }
+    for m in _TOKEN.finditer(html):
+        kind = m.lastgroup
+        if kind == "text":
+            texts.append(m[0])
+            continue
+        if texts:
+            end_text()
+        if kind == "close":
+            tag = m["close"].lower()
+            if any(node[3] == tag for node in open_):
+                while open_[-1][3] != tag:
+                    shut(m.start())
+                shut(m.end())
+        elif kind == "attrs":
+            tag, source = m["open"].lower(), m["attrs"]
+            attrs = _attributes(source) if source else []
+            node = add(tag, attrs, None, m.start(), m.end())
+            if tag not in _VOID and not (source[-1:] == "/" and _self_closing(source)):
+                open_.append(node)
+        elif kind == "body":
+            open_.append(add(m["raw"].lower(), _attributes(m["raw_attrs"]), None, m.start(), m.end()))
+            if m["body"]:
+                add("#raw", None, m["body"], 0, 0)
+        elif kind == "comment":
+            add("#comment", None, m["comment"], 0, 0)
+    if texts:
+        end_text()
+    while open_:
+        shut(len(html))
+    return nodes
 
 
 # (tag, attribute, pattern): an element with that tag whose attribute holds the pattern.
@@ -123,11 +120,11 @@ def _as_struct(node: list, base: int) -> dict:
 Root = tuple[str | None, str | None, str]
 
 
-def _blocks(html: str, root: Root | None) -> Iterator[tuple[str, list[dict]]]:
+def _blocks(html: str, root: Root | None) -> Iterator[tuple[str, list[list]]]:
     """(source, nodes) of the whole page, or of every element ``root`` accepts."""
-    nodes = _Flattener(html).nodes
+    nodes = flatten(html)
     if root is None:
-        yield html, [_as_struct(n, 0) for n in nodes]
+        yield html, nodes
         return
     tag, attr, pattern = root[0], root[1], re.compile(root[2])
     for node in nodes:
@@ -135,8 +132,53 @@ def _blocks(html: str, root: Root | None) -> Iterator[tuple[str, list[dict]]]:
             continue
         value = "" if attr is None else dict(node[4]).get(attr)
         if value is not None and pattern.search(value):
-            inside = nodes[node[0] : node[1] + 1]
-            yield html[node[6] : node[7]], [_as_struct(n, node[0]) for n in inside]
+            yield html[node[6] : node[7]], nodes[node[0] : node[1] + 1]
+
+
+def _node_arrays(trees: list[list[list]]) -> pa.Array:
+    """Node lists as one Arrow list column, positions counted from each list's first node."""
+    ends, pos, last, depth, tag, text = [0], [], [], [], [], []
+    attr_ends, names, values = [0], [], []
+    for tree in trees:
+        base = tree[0][0] if tree else 0
+        for node in tree:
+            pos.append(node[0] - base)
+            last.append(node[1] - base)
+            depth.append(node[2])
+            tag.append(node[3])
+            for name, value in node[4] or ():
+                names.append(name)
+                values.append(value)
+            attr_ends.append(len(names))
+            text.append(node[5])
+        ends.append(len(pos))
+    attrs = pa.MapArray.from_arrays(
+        pa.array(attr_ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string())
+    )
+    struct = pa.StructArray.from_arrays(
+        [
+            pa.array(pos, pa.int32()),
+            pa.array(last, pa.int32()),
+            pa.array(depth, pa.int32()),
+            pa.array(tag, pa.string()),
+            attrs,
+            pa.array(text, pa.string()),
+        ],
+        names=["pos", "last", "depth", "tag", "attrs", "text"],
+    )
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
+
+
+def _spread_if_small(df: DataFrame) -> DataFrame:
+    """Few, small input files would leave cores idle while Python reads markup.
+
+    Only an input whose size is known to be small is redistributed; a large one already has more
+    splits than cores and must not be shuffled.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def page_nodes(
@@ -164,7 +206,7 @@ def page_nodes(
         columns.append(pa.array([block for _, block, *_ in found], pa.int32()))
         if keep_source:
             columns.append(pa.array([source for _, _, source, _ in found], pa.string()))
-        columns.append(pa.array([tree for *_, tree in found], _NODES_ARROW))
+        columns.append(_node_arrays([tree for *_, tree in found]))
         return pa.RecordBatch.from_arrays(columns, names=labels)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +223,4 @@ def page_nodes(
                     found, size = [], 0
             yield packed(batch, found)
 
-    return pages.select(*names, html).mapInArrow(read, ddl)
+    return _spread_if_small(pages.select(*names, html)).mapInArrow(read, ddl)

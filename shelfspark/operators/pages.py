@@ -379,48 +379,56 @@ def card_records(cards: DataFrame, profile: SiteProfile, keys: list[str]) -> Dat
         lambda e: F.contains(F.lower(M.raw_text(M.within(n, e))), F.lit("new at")),
     )
     price_tag = M.find(n, M.tagged("span", "data-test", S.CURRENT_PRICE))
-    staged = (
-        cards.withColumn("_link", title_link(n))
-        .withColumn("_url", T.strip(M.attr(F.col("_link"), "href")))
-        .filter(F.contains("_url", F.lit("/A-")))
-        .withColumn("title", card_title(n, F.col("_link")))
-        .filter(F.col("title").isNotNull())
-        .withColumn("_tag", price_tag)
-        .withColumn(
-            "price_current",
-            P.price_with_fallback(M.text_of(n, F.col("_tag")), M.all_strings(n)),
-        )
-        .withColumn("price_regular", P.comparison_price(F.coalesce(comparison, F.lit(""))))
-        .withColumn("_discount", P.discount_adv(F.col("price_current"), F.col("price_regular")))
-        .withColumn("_rating", rating_adv(n))
-        .withColumn("_image", card_image(n))
+    # few, wide steps: each one is analysed anew, and rejects leave before the wide one
+    linked = cards.select(*keys, "block", "source", "nodes", title_link(n).alias("_link")).filter(
+        F.contains(M.attr(F.col("_link"), "href"), F.lit("/A-"))
     )
-    undercut = (F.col("price_regular") > 0) & (F.col("price_current") < F.col("price_regular"))
-    return staged.select(
+    read = linked.select(
+        *keys,
+        "block",
+        T.strip(M.attr(F.col("_link"), "href")).alias("_url"),
+        card_title(n, F.col("_link")).alias("title"),
+        F.coalesce(brand, F.lit("")).alias("brand"),
+        let(price_tag, lambda e: P.price_with_fallback(M.text_of(n, e), M.all_strings(n))).alias(
+            "price_current"
+        ),
+        P.comparison_price(F.coalesce(comparison, F.lit(""))).alias("price_regular"),
+        rating_adv(n).alias("_rating"),
+        F.coalesce(M.find_text(n, M.tagged("strong")), F.lit("")).alias("bought_last_month"),
+        swatch_colors(n).alias("colors"),
+        card_image(n).alias("_image"),
+        (price_tag.isNotNull() & F.contains(source, F.lit("sale"))).alias("_says_sale"),
+        F.contains(source, F.lit("clearance")).alias("is_clearance"),
+        (
+            F.coalesce(ribbon, F.lit(False))
+            | M.keyword_flag(F.col("source"), rf"New at\s+{profile.store_name}")
+        ).alias("is_new"),
+        (best.isNotNull() | best_text).alias("best_seller"),
+    ).filter(F.col("title").isNotNull())
+    current, regular = F.col("price_current"), F.col("price_regular")
+    discount = P.discount_adv(current, regular)
+    return read.select(
         *keys,
         "block",
         T.product_id_from_url(F.col("_url")).alias("product_id"),
         "title",
         T.prefix_host(F.col("_url"), profile.base).alias("url"),
-        F.coalesce(brand, F.lit("")).alias("brand"),
+        "brand",
         "price_current",
         "price_regular",
-        F.col("_discount.percent").alias("discount_percent"),
-        F.col("_discount.amount").alias("discount_amount"),
+        discount["percent"].alias("discount_percent"),
+        discount["amount"].alias("discount_amount"),
         F.col("_rating.rating").alias("rating"),
         F.col("_rating.count").alias("rating_count"),
-        F.coalesce(M.find_text(n, M.tagged("strong")), F.lit("")).alias("bought_last_month"),
-        swatch_colors(n).alias("colors"),
+        "bought_last_month",
+        "colors",
         F.when(F.col("_image").isNotNull(), F.array("_image"))
         .otherwise(N.empty_list())
         .alias("images"),
-        ((F.col("_tag").isNotNull() & F.contains(source, F.lit("sale"))) | undercut).alias("is_sale"),
-        F.contains(source, F.lit("clearance")).alias("is_clearance"),
-        (
-            F.coalesce(ribbon, F.lit(False))
-            | M.keyword_flag(F.col("source"), rf"New at\s+{profile.store_name}")
-        ).alias("is_new"),
-        (best.isNotNull() | best_text).alias("best_seller"),
+        (F.col("_says_sale") | ((regular > 0) & (current < regular))).alias("is_sale"),
+        "is_clearance",
+        "is_new",
+        "best_seller",
     )
 
 
@@ -449,50 +457,55 @@ def card_records_http(
     image = let(M.find(n, M.tagged("img", "role", "presentation")), lambda e: M.attr(e, "src"))
     sale = M.find(n, M.tagged("span", "aria-label", pattern="(?i)Sale|Clearance"))
     new = M.find(n, M.tagged("span", "aria-label", pattern="new|New"))
-    staged = (
-        cards.withColumn("_link", link)
-        .withColumn("current_price", price(current))
-        .withColumn(
-            "regular_price", P.regular_or_current(price(regular), F.col("current_price"))
-        )
-        .withColumn(
-            "_discount", P.discount_rounded(F.col("current_price"), F.col("regular_price"))
-        )
-        .withColumn("_rating", rating_from_label(n))
-        .withColumn("_colors", button_colors(n))
-        .withColumn("is_sale", sale.isNotNull())
-        .withColumn("image_url", F.coalesce(image, F.lit("")))
+    staged = cards.select(
+        *keys,
+        "block",
+        F.coalesce(focus, F.lit("")).alias("_focus"),
+        let(
+            link,
+            lambda a: F.when(
+                a.isNotNull(),
+                F.struct(
+                    T.strip(M.raw_text(M.within(n, a))).alias("title"),
+                    F.coalesce(M.attr(a, "href"), F.lit("")).alias("href"),
+                ),
+            ),
+        ).alias("_link"),
+        price(current).alias("current_price"),
+        price(regular).alias("_regular"),
+        rating_from_label(n).alias("_rating"),
+        button_colors(n).alias("_colors"),
+        F.coalesce(image, F.lit("")).alias("image_url"),
+        (~gone).alias("in_stock"),
+        sale.isNotNull().alias("is_sale"),
+        new.isNotNull().alias("is_new"),
     )
+    now = F.col("current_price")
+    regular_price = P.regular_or_current(F.col("_regular"), now)
+    discount = P.discount_rounded(now, regular_price)
     out = [
-        T.product_id_from_focus(F.coalesce(focus, F.lit(""))).alias("product_id"),
-        F.when(F.col("_link").isNull(), F.lit("N/A"))
-        .otherwise(T.strip(M.raw_text(M.within(n, F.col("_link")))))
-        .alias("product_name" if variant == "cmp" else "title"),
-        F.when(F.col("_link").isNull(), F.lit(""))
-        .otherwise(
-            T.resolve_url(
-                F.coalesce(M.attr(F.col("_link"), "href"), F.lit("")), profile.category_url
-            )
-        )
-        .alias("product_url" if variant == "cmp" else "url"),
+        T.product_id_from_focus(F.col("_focus")).alias("product_id"),
+        F.coalesce(F.col("_link.title"), F.lit("N/A")).alias(
+            "product_name" if variant == "cmp" else "title"
+        ),
+        F.coalesce(T.resolve_url(F.col("_link.href"), profile.category_url), F.lit("")).alias(
+            "product_url" if variant == "cmp" else "url"
+        ),
         "current_price",
-        "regular_price",
-        F.coalesce(F.col("_discount.percent"), F.lit(0.0)).alias("discount_percent"),
-        F.coalesce(F.col("_discount.amount"), F.lit(0.0)).alias("discount_amount"),
+        regular_price.alias("regular_price"),
+        F.coalesce(discount["percent"], F.lit(0.0)).alias("discount_percent"),
+        F.coalesce(discount["amount"], F.lit(0.0)).alias("discount_amount"),
         F.coalesce(F.col("_rating.rating"), F.lit(0.0)).alias("rating"),
         F.coalesce(F.col("_rating.count"), F.lit(0)).alias("review_count"),
         F.when(F.size("_colors") > 0, T.join_pipes(F.col("_colors")))
         .otherwise(F.lit("N/A"))
         .alias("colors"),
         "image_url",
-        (~gone).alias("in_stock"),
+        "in_stock",
         "is_sale",
     ]
     if variant == "cmp":
-        out += [
-            P.sale_price_cmp(F.col("current_price"), F.col("is_sale")).alias("sale_price"),
-            new.isNotNull().alias("is_new"),
-        ]
+        out += [P.sale_price_cmp(now, F.col("is_sale")).alias("sale_price"), "is_new"]
     return staged.select(*keys, "block", *out)
 
 
@@ -501,37 +514,43 @@ def detail_records(details: DataFrame, profile: SiteProfile, url: str = "url") -
     n = F.col("nodes")
     price = M.find_text(n, M.tagged("span", "data-test", S.DETAIL_PRICE))
     regular = M.find_text(n, M.tagged("span", "data-test", S.DETAIL_REGULAR_PRICE))
-    staged = (
-        details.withColumn("price_current", P.price_adv(F.coalesce(price, F.lit("0"))))
-        .withColumn("price_regular", P.comparison_price(F.coalesce(regular, F.lit(""))))
-        .withColumn("highlights", highlight_bullets(n))
-        .withColumn("specifications", specifications(n))
-        .withColumn("dimensions_table", N.dimension_table(F.col("specifications")))
-        .withColumn("colors", chip_colors(n))
-    )
-    return staged.select(
+    read = details.select(
         F.col(url).alias("url"),
-        T.product_id_from_url(F.col(url)).alias("product_id"),
+        "nodes",
         F.coalesce(M.find_text(n, M.tagged("h1", "data-test", S.DETAIL_TITLE)), F.lit("")).alias(
             "title"
         ),
-        "price_current",
-        "price_regular",
-        P.sale_price_adv(F.col("price_current"), F.col("price_regular")).alias("sale_price"),
+        P.price_adv(F.coalesce(price, F.lit("0"))).alias("price_current"),
+        P.comparison_price(F.coalesce(regular, F.lit(""))).alias("price_regular"),
         breadcrumb(n).alias("category_breadcrumb"),
-        fit_and_style(n, F.col("highlights")).alias("description"),
-        N.material_of(F.col("specifications")).alias("material_text"),
-        "highlights",
-        F.col("highlights").alias("feature_bullets"),
+        highlight_bullets(n).alias("highlights"),
         gallery_images(n, profile.image_host).alias("images"),
-        N.dimensions_from(F.col("highlights"), F.col("dimensions_table")).alias("dimensions"),
-        "dimensions_table",
-        "specifications",
+        specifications(n).alias("specifications"),
         F.coalesce(M.find_text(n, M.tagged("a", "data-test", S.SELLER_LINK)), F.lit("")).alias(
             "seller"
         ),
+        chip_colors(n).alias("colors"),
+    )
+    highlights, specs = F.col("highlights"), F.col("specifications")
+    return read.select(
+        "url",
+        T.product_id_from_url(F.col("url")).alias("product_id"),
+        "title",
+        "price_current",
+        "price_regular",
+        P.sale_price_adv(F.col("price_current"), F.col("price_regular")).alias("sale_price"),
+        "category_breadcrumb",
+        fit_and_style(n, highlights).alias("description"),
+        N.material_of(specs).alias("material_text"),
+        "highlights",
+        highlights.alias("feature_bullets"),
+        "images",
+        N.dimensions_from(highlights, N.dimension_table(specs)).alias("dimensions"),
+        N.dimension_table(specs).alias("dimensions_table"),
+        "specifications",
+        "seller",
         "colors",
-        T.selected_color(F.col(url), F.col("colors")).alias("color_selected"),
+        T.selected_color(F.col("url"), F.col("colors")).alias("color_selected"),
     )
 
 
@@ -542,29 +561,32 @@ def detail_records_http(details: DataFrame, profile: SiteProfile, url: str = "ur
     def price_of(test) -> Column:
         return let(M.find(n, test), lambda e: P.price_cmp(M.raw_text(M.within(n, e))))
 
-    staged = (
-        details.withColumn("current_price", price_of(M.tagged("span", "data-test", S.DETAIL_PRICE)))
-        .withColumn(
-            "_regular", price_of(M.tagged("span", "data-test", pattern=S.REGULAR_PRICE_PATTERN))
-        )
-        .withColumn("_rating", rating_detail_cmp(n))
-    )
-    return staged.select(
+    read = details.select(
         F.col(url).alias("url"),
         F.coalesce(M.find_text(n, M.tagged("h1", "data-test", S.DETAIL_TITLE)), F.lit("N/A")).alias(
             "title"
         ),
         breadcrumb(n, "N/A").alias("category_breadcrumb"),
-        "current_price",
-        F.coalesce(
-            F.col("_regular"), F.when(F.col("current_price") != 0, F.col("current_price"))
-        ).alias("regular_price"),
-        F.coalesce(F.col("_rating.rating"), F.lit(0.0)).alias("rating"),
-        F.coalesce(F.col("_rating.count"), F.lit(0)).alias("review_count"),
+        price_of(M.tagged("span", "data-test", S.DETAIL_PRICE)).alias("current_price"),
+        price_of(M.tagged("span", "data-test", pattern=S.REGULAR_PRICE_PATTERN)).alias("_regular"),
+        rating_detail_cmp(n).alias("_rating"),
         gallery_images_cmp(n, profile.image_host).alias("images"),
         variant_colors(n).alias("colors"),
         specifications_cmp(n).alias("specifications"),
     )
+    current = F.col("current_price")
+    return read.select(
+        "url",
+        "title",
+        "category_breadcrumb",
+        "current_price",
+        F.coalesce(F.col("_regular"), F.when(current != 0, current)).alias("regular_price"),
+        F.coalesce(F.col("_rating.rating"), F.lit(0.0)).alias("rating"),
+        F.coalesce(F.col("_rating.count"), F.lit(0)).alias("review_count"),
+        "images",
+        "colors",
+        "specifications",
+    )
 
 
 def product_fields(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

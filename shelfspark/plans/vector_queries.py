@@ -12,7 +12,7 @@ from shelfspark.operators.merge import with_image_vectors
 from shelfspark.plans.catalog_queries import FLAGGED_SQL
 from shelfspark.plans.ingest import embed, prepare
 from shelfspark.plans.registry import query
-from shelfspark.plans.text_queries import CUT_SQL
+from shelfspark.plans.text_queries import CUT_SQL, WS_SQL
 from shelfspark.plans.views import load, view
 
 
@@ -105,7 +105,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ingest_pipeline",
     f"""select id, f.document, left(title, 40) as title, cast(64 as integer) as n_dims from ({FLAGGED_SQL}) f
-      join (select ord, trim(title) as title from {{raw_products}}) p using (ord) where reason is null""",
+      join (select ord, trim(title, {WS_SQL}) as title from {{raw_products}}) p using (ord) where reason is null""",
 )
 def ingest_pipeline(spark, sf):
     rows = flagship(spark, sf)

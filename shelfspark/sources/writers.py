@@ -83,8 +83,7 @@ def write_snapshot(df: DataFrame, root: str, run: str = "run_ts", latest: bool =
     by_run.write.mode("append").partitionBy(run).option("ignoreNullFields", False).json(f"{root}/json")
     _csv(by_run.write.mode("append").partitionBy(run)).csv(f"{root}/csv")
     if latest:
-        newest = rows.agg(F.max(run).alias("_newest"))  # a single row
-        last = rows.join(F.broadcast(newest), F.col(run) == F.col("_newest")).drop("_newest")
+        last = rows.filter(F.col(run) == rows.agg(F.max(run)).scalar())
         write_json(last, f"{root}/latest/json", mode="overwrite")
         _csv(last.write.mode("overwrite")).csv(f"{root}/latest/csv")
 

@@ -12,12 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfspark.functions.text import blank_to_null, safe_str
+from shelfspark.operators.skew import HOT_SHARE, hot_keys, splittable_left_join
 
 MISSING = "missing product_id"
 DUPLICATE = "duplicate product_id"
 EMPTY = "empty document text"
-# At most this many ids can each hold more than a 1/HOT_SHARE part of the rows.
-HOT_SHARE = 200
 
 
 def _key(order: list[str]) -> Column:
@@ -84,13 +83,6 @@ def reason_counts(flagged: DataFrame) -> DataFrame:
     )
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than 1/share of all rows: fewer than ``share`` of them, whatever the data."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.filter(F.col("_n") * share > total).select(F.col(key).alias("_hot"))
-
-
 def price_history(
     df: DataFrame,
     key: str,
@@ -165,7 +157,7 @@ def before_marker_rows(df: DataFrame, key: str, order: str, marker: Column) -> D
         .groupBy(F.col(key).alias("_k"))
         .agg(F.min(order).alias("_stop"))
     )
-    joined = df.join(firsts, F.col(key) == F.col("_k"), "left")
+    joined = splittable_left_join(df, firsts, key, "_k")
     return joined.filter(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).select(*df.columns)
 
 

@@ -1,8 +1,8 @@
 """Listing rows joined with detail rows by URL, field by field.
 
 The join is a left equi-join on a key that is unique on the detail side. A URL that holds a
-large share of the listing rows is split by AQE's skew join (``session.RUNTIME_CONF``): a left
-join may split its left side, so no group ever has to fit one task.
+large share of the listing rows is split by AQE's skew join (``skew.splittable_left_join``), so
+no group ever has to fit one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfspark.functions import nested as N
 from shelfspark.functions.text import blank_to_null, join_pipes
+from shelfspark.operators.skew import splittable_left_join
 
 # Which detail fields win, and by which test.
 ADV_IF_NON_EMPTY_TEXT = ("description", "seller", "category_breadcrumb", "material_text", "color_selected")
@@ -35,7 +36,7 @@ def _joined(listing: DataFrame, detail: DataFrame, key: str) -> DataFrame:
     renamed = detail.filter(F.col(key) != "").select(
         F.col(key).alias("_key"), *[F.col(c).alias(f"d_{c}") for c in detail.columns if c != key]
     )
-    return listing.join(renamed, F.col(key) == F.col("_key"), "left")
+    return splittable_left_join(listing, renamed, key, "_key")
 
 
 def merge_adv(listing: DataFrame, detail: DataFrame, key: str = "url") -> DataFrame:

@@ -69,6 +69,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw pages: a parquet table (page_id, url, html), or a folder of HTML files (url, html)."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")
     )

@@ -43,22 +43,26 @@ def keep_latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     )
 
 
-def with_reject_reason(df: DataFrame, key: str, order: str, document: str) -> DataFrame:
+def with_reject_reason(
+    df: DataFrame, key: str, order: str | list[str], document: str
+) -> DataFrame:
     """Add ``reason``: null for accepted rows, else why the row is skipped.
 
     Checked in turn: missing id, id already claimed by an earlier row, empty document. An id is
     claimed before its document is checked, so a later row never replaces an empty first one.
-    ``order`` is a unique encounter-order column. The first position per id is a pre-combined
-    minimum; joining it on both id and position keeps a hot id's rows spread over all tasks.
+    ``order`` (one column, or several with tie-breaks) must not tie within an id. The first
+    position per id is a pre-combined minimum; joining it on both id and position keeps a hot
+    id's rows spread over all tasks.
     """
+    by = [order] if isinstance(order, str) else list(order)
     rows = df.withColumn("_id", blank_to_null(safe_str(F.col(key))))
     firsts = (
         rows.filter(F.col("_id").isNotNull())
         .groupBy(F.col("_id").alias("_first_id"))
-        .agg(F.min(order).alias("_first_at"))
+        .agg(F.min(_key(by)).alias("_first_at"))
     )
     joined = rows.join(
-        firsts, (F.col("_id") == F.col("_first_id")) & (F.col(order) == F.col("_first_at")), "left"
+        firsts, (F.col("_id") == F.col("_first_id")) & (_key(by) == F.col("_first_at")), "left"
     )
     reason = (
         F.when(F.col("_id").isNull(), MISSING)

@@ -69,12 +69,14 @@ def encode_column(c: Column, factory: EncoderFactory | None = None, batch_size:
 
 
 def text_vectors(
-    df: DataFrame, document: str = "document", factory: EncoderFactory | None = None
+    df: DataFrame,
+    document: str = "document",
+    factory: EncoderFactory | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Add ``text_vector``: cut text, encoded, unit length."""
-    return df.withColumn("_raw", encode_column(embed_text(F.col(document)), factory)).withColumn(
-        "text_vector", l2_normalize(F.col("_raw"))
-    ).drop("_raw")
+    raw = encode_column(embed_text(F.col(document)), factory, batch_size)
+    return df.withColumn("_raw", raw).withColumn("text_vector", l2_normalize(F.col("_raw"))).drop("_raw")
 
 
 def fused_vectors(text: DataFrame, image: DataFrame | None = None, key: str = "id") -> DataFrame:
@@ -92,11 +94,11 @@ def fused_vectors(text: DataFrame, image: DataFrame | None = None, key: str = "i
 
 
 def image_vectors(
-    df: DataFrame, key: str, image_url: str, encoder: EncoderFactory
+    df: DataFrame, key: str, image_url: str, encoder: EncoderFactory, batch_size: int = BATCH_SIZE
 ) -> DataFrame:
     """(key, image_vector) of records that have an image URL; failures must come back as NaN rows."""
     raw = df.filter(F.col(image_url).isNotNull()).select(
-        key, encode_column(F.col(image_url), encoder).alias("_raw")
+        key, encode_column(F.col(image_url), encoder, batch_size).alias("_raw")
     )
     whole = ~F.exists("_raw", lambda x: x.isNull() | F.isnan(x))
     return raw.filter(whole).select(key, l2_normalize(F.col("_raw")).alias("image_vector"))

@@ -25,6 +25,13 @@ _FILLED_BY_DETAIL = (
 )
 
 
+def _one_page_per_url(pages: DataFrame) -> DataFrame:
+    """One page per URL, before any page is read: the first by ``page_id`` if there is one."""
+    kept = [c for c in ("url", "page_id", "html") if c in pages.columns]
+    order = ["page_id"] if "page_id" in kept else None
+    return one_per_key(pages.select(*kept), "url", order)
+
+
 def build_catalog(
     listing_pages: DataFrame,
     detail_pages: DataFrame | None = None,
@@ -47,9 +54,7 @@ def build_catalog(
         *[N.empty_list().alias(c) for c in ("highlights", "feature_bullets")],
         *[N.empty_map().alias(c) for c in ("dimensions", "dimensions_table", "specifications")],
     )
-    # one page per URL before any page is read
-    pages = one_per_key(detail_pages.select("url", "html"), "url")
-    details = detail_records(page_nodes(pages, ["url"]), profile)
+    details = detail_records(page_nodes(_one_page_per_url(detail_pages), ["url"]), profile)
     return merge_adv(listing, details)
 
 
@@ -75,6 +80,5 @@ def build_catalog_http(
     )
     if detail_pages is None:
         return listing
-    pages = one_per_key(detail_pages.select("url", "html"), "url")
-    details = detail_records_http(page_nodes(pages, ["url"]), profile)
+    details = detail_records_http(page_nodes(_one_page_per_url(detail_pages), ["url"]), profile)
     return merge_cmp(listing, details.withColumnRenamed("url", "product_url"))

@@ -104,10 +104,14 @@ def absent_from(df: DataFrame, existing: DataFrame, key: str = "id") -> DataFram
 
 
 def add_to_collection(df: DataFrame, path: str, key: str = "id") -> None:
-    """Insert-if-absent. ``df`` holds each key once; adding the same rows again changes nothing."""
-    spark = df.sparkSession
-    schema = StructType([f for f in df.schema])
-    absent_from(df, read_collection(spark, path, schema), key).write.mode("append").parquet(path)
+    """Insert-if-absent by ``key``; adding the same rows again changes nothing.
+
+    A key that comes twice in ``df`` is stored once, whichever copy it is, so callers choose
+    first (``with_reject_reason``).
+    """
+    existing = read_collection(df.sparkSession, path, df.schema)
+    fresh = absent_from(df, existing, key).dropDuplicates([key])
+    fresh.write.mode("append").parquet(path)
 
 
 def send_in_slices(

@@ -55,6 +55,16 @@ def test_reject_reasons_with_a_hot_id_in_any_row_order(spark):
     assert D.accepted(flagged).count() + D.rejected(flagged).count() == len(rows)
 
 
+def test_reject_reasons_with_tie_breaks(spark):
+    rows = [("a", "late", 2, 1), ("a", "first", 1, 1), ("a", "tied", 1, 2), ("b", "", 1, 1), ("b", "x", 1, 2)]
+    df = spark.createDataFrame(rows, "product_id string, title string, at int, place int")
+    flagged = prepare(df, ["at", "place"])
+    got = {(r.id, r.at, r.place): r.reason for r in flagged.collect()}
+    assert got == {
+        ("a", 2, 1): D.DUPLICATE, ("a", 1, 1): None, ("a", 1, 2): D.DUPLICATE, ("b", 1, 1): D.EMPTY, ("b", 1, 2): D.DUPLICATE,
+    }
+
+
 def test_first_and_latest_in_any_row_order(spark):
     rows = [r for r in products() if r[0] and r[0].strip()]
     first, last = {}, {}

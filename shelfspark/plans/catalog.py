@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from shelfspark.functions import nested as N
+from shelfspark.functions.text import is_product_url
 from shelfspark.operators.dedupe import first_n
 from shelfspark.operators.merge import merge_adv, merge_cmp, one_per_key
 from shelfspark.operators.page_tree import page_nodes
@@ -13,8 +15,10 @@ from shelfspark.operators.pages import (
     detail_records,
     detail_records_http,
     listing_cards,
+    product_fields,
+    product_links,
 )
-from shelfspark.functions import nested as N
+from shelfspark.operators.skew import splittable_left_join
 from shelfspark.site import SiteProfile
 
 ORDER = ["page_id", "block"]
@@ -82,3 +86,22 @@ def build_catalog_http(
         return listing
     details = detail_records_http(page_nodes(_one_page_per_url(detail_pages), ["url"]), profile)
     return merge_cmp(listing, details.withColumnRenamed("url", "product_url"))
+
+
+def build_catalog_from_links(
+    catalog_pages: DataFrame,
+    product_pages: DataFrame,
+    profile: SiteProfile = SiteProfile(),
+    max_products: int | None = None,
+) -> DataFrame:
+    """Product links of (page_id, html) catalog pages, each with the six fields of its page.
+
+    A link whose page is not among the (url, html) product pages gives no record.
+    """
+    links = product_links(
+        catalog_pages, ["page_id"], profile.base, lambda u: is_product_url(u, profile.host)
+    )
+    wanted = first_n(links, max_products, ["page_id", "pos"])
+    fields = product_fields(_one_page_per_url(product_pages)).withColumnRenamed("url", "_page")
+    joined = splittable_left_join(wanted, fields, "url", "_page")
+    return joined.filter(F.col("_page").isNotNull()).drop("_page")

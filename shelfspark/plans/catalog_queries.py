@@ -198,8 +198,8 @@ _FIELDS = ("product_id", "title", "brand", "description", "material_text", "pric
 @query(
     "a5_completeness",
     " union all ".join(
-        f"select '{c}' as field, count(*) as n_rows, count_if({c} is not null{'' if c in ('price_current', 'in_stock') else f' and {c} <> chr(0) and length({c}) > 0'}) as n_present, "
-        f"cast(count_if({c} is not null{'' if c in ('price_current', 'in_stock') else f' and length({c}) > 0'}) as double) / count(*) as share from {{raw_products}}"
+        f"select '{c}' as field, count(*) as n_rows, cast(count_if({c} is not null{'' if c in ('price_current', 'in_stock') else f' and {c} <> chr(0) and length({c}) > 0'}) as bigint) as n_present, "
+        f"cast(cast(count_if({c} is not null{'' if c in ('price_current', 'in_stock') else f' and length({c}) > 0'}) as bigint) as double) / count(*) as share from {{raw_products}}"
         for c in _FIELDS
     ),
 )
@@ -389,8 +389,8 @@ def unique_ids(spark, sf):
     "q2_q5_row_checks",
     """with r as (select case when ord % 7 = 0 then 'n/a' else cast(price_current as varchar) end as p, case when ord % 11 = 0 then title else '2024-01-02T03:04:05' end as t,
         ord % 60 / 10.0 as rating, case when ord % 5 = 0 then 'http://x' else 'https://x' end as u from {raw_products}),
-      n as (select count(*) as n_rows, count_if(coalesce(try_cast(p as double), 0) <= 0) as price, count_if(rating not between 0 and 5) as rating,
-        count_if(not starts_with(u, 'https://')) as url, count_if(try_cast(t as timestamp) is null) as time from r)
+      n as (select count(*) as n_rows, cast(count_if(coalesce(try_cast(p as double), 0) <= 0) as bigint) as price, cast(count_if(rating not between 0 and 5) as bigint) as rating,
+        cast(count_if(not starts_with(u, 'https://')) as bigint) as url, cast(count_if(try_cast(t as timestamp) is null) as bigint) as time from r)
       select 'price' as "check", n_rows, price as n_bad from n union all select 'rating', n_rows, rating from n
       union all select 'url', n_rows, url from n union all select 'time', n_rows, time from n""",
 )
@@ -415,7 +415,7 @@ def row_checks(spark, sf):
 
 @query(
     "q2_positive_price",
-    """select 'price' as "check", count(*) as n_rows, count_if(price_current <= 0) as n_bad from {raw_products}""",
+    """select 'price' as "check", count(*) as n_rows, cast(count_if(price_current <= 0) as bigint) as n_bad from {raw_products}""",
 )
 def positive_price(spark, sf):
     return Q.row_checks(view(spark, sf, "raw_products"), {"price": Q.bad_price(F.col("price_current"))})
@@ -423,21 +423,21 @@ def positive_price(spark, sf):
 
 @query(
     "q3_rating_range",
-    """select 'rating' as "check", count(*) as n_rows, count_if(rating * 1.2 not between 0 and 5) as n_bad from {catalog}""",
+    """select 'rating' as "check", count(*) as n_rows, cast(count_if(rating * 1.2 not between 0 and 5) as bigint) as n_bad from {catalog}""",
 )
 def rating_range(spark, sf):
     c = view(spark, sf, "catalog").withColumn("rating", F.col("rating") * F.lit(1.2).cast("decimal(2,1)"))
     return Q.row_checks(c, {"rating": Q.bad_rating(F.col("rating"))})
 
 
-@query("q4_https_url", """select 'url' as "check", count(*) as n_rows, count_if(not starts_with(url, 'https://')) as n_bad from pages""")
+@query("q4_https_url", """select 'url' as "check", count(*) as n_rows, cast(count_if(not starts_with(url, 'https://')) as bigint) as n_bad from pages""")
 def https_url(spark, sf):
     return Q.row_checks(load(spark, sf, "pages"), {"url": Q.bad_url(F.col("url"))})
 
 
 @query(
     "q5_iso_time",
-    """select 'time' as "check", count(*) as n_rows, count_if(o_orderkey % 4 = 0) as n_bad from orders""",
+    """select 'time' as "check", count(*) as n_rows, cast(count_if(o_orderkey % 4 = 0) as bigint) as n_bad from orders""",
 )
 def iso_time(spark, sf):
     d = F.col("o_orderdate")
@@ -467,7 +467,7 @@ def duplicate_full_rows(spark, sf):
     """with e as (select distinct 'Root' as node, '' as above from {catalog}
         union select material_text, 'Root' from {catalog} union select brand, 'Root > ' || material_text from {catalog}),
       n as (select node, count(*) as c from e group by node)
-      select 'breadcrumb_hierarchy' as "check", count(*) as n_rows, count_if(c > 1) as n_bad from n""",
+      select 'breadcrumb_hierarchy' as "check", count(*) as n_rows, cast(count_if(c > 1) as bigint) as n_bad from n""",
 )
 def breadcrumb_hierarchy(spark, sf):
     return Q.breadcrumb_hierarchy(view(spark, sf, "catalog"))

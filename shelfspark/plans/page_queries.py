@@ -10,7 +10,7 @@ from shelfspark.functions import nested as N
 from shelfspark.functions import text as T
 from shelfspark.operators import pages as H
 from shelfspark.operators.page_tree import page_nodes
-from shelfspark.plans.catalog import build_catalog, build_catalog_http
+from shelfspark.plans.catalog import build_catalog, build_catalog_from_links, build_catalog_http
 from shelfspark.plans.registry import query
 from shelfspark.plans.text_queries import BASE, LINKS_SQL, WS_SQL
 from shelfspark.plans.views import load, view
@@ -539,3 +539,25 @@ def pages_to_catalog_cmp(spark, sf):
         SHOP,
     )
     return built.select("page_id", "block", "product_name", "material_text", "feature_bullets")
+
+
+@query(
+    "h25_links_to_products",
+    """with f as (select *, row_number() over (partition by url order by event_id) as rn from {json_pages}),
+      p as (select url, case when event_id % 10 in (0, 1, 2) then event_type else event_type || ' json' end as title,
+        case when event_id % 3 = 0 and event_id % 10 <> 0 then '$' || cast(user_id as varchar)
+          else '$' || cast(cast(value as decimal(10,2)) as varchar) end as price from f where rn = 1)
+      select event_id as page_id, cast(1 as integer) as pos, cast(user_id as varchar) as tcin, url, title, price
+      from events join p on p.url = 'https://shop.example/p/' || event_type || '/-/A-' || cast(user_id as varchar)""",
+)
+def links_to_products(spark, sf):
+    products = view(spark, sf, "json_pages")
+    link = F.concat(
+        F.lit('<a href="/c/other">x</a><a class=p href="/p/'), "event_type", F.lit("/-/A-"),
+        F.col("user_id").cast("string"), F.lit('#top">y</a>'),
+    )
+    listing = load(spark, sf, "events").select(F.col("event_id").alias("page_id"), link.alias("html"))
+    built = build_catalog_from_links(
+        listing, products.select("url", F.col("event_id").alias("page_id"), "html"), SHOP
+    )
+    return built.select("page_id", "pos", "tcin", "url", "title", "price")

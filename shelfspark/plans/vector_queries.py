@@ -57,6 +57,21 @@ def v2(spark, sf):
     return v.filter(F.col("weight") > 0)
 
 
+@query(
+    "g1_pluggable_encoder",
+    f"""with t as (select doc_id, coalesce(nullif({CUT_SQL}, ''), ' ') as t from (select doc_id, text as t from documents)),
+      n as (select doc_id, cast(length(t) as double) as a, cast(length(t) - length(replace(t, ' ', '')) as double) as b from t)
+      select doc_id, a / sqrt(0 + a * a + b * b) as first, b / sqrt(0 + a * a + b * b) as second from n""",
+)
+def pluggable_encoder(spark, sf):
+    def factory():
+        return lambda texts: [[len(t), t.count(" ")] for t in texts]
+
+    d = load(spark, sf, "documents").select("doc_id", F.col("text").alias("document"))
+    v = E.text_vectors(d, factory=factory)
+    return v.select("doc_id", F.get("text_vector", F.lit(0)).alias("first"), F.get("text_vector", F.lit(1)).alias("second"))
+
+
 _PAIRS_SQL = """(select t.vec_id as id, t.embedding as a, i.embedding as b from embeddings t
   left join embeddings i on i.vec_id = t.vec_id + 1 and t.vec_id % 2 = 0)"""
 

@@ -40,11 +40,13 @@ def hashed_words(width: int = HASH_WIDTH) -> EncoderFactory:
             return at
 
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), width), dtype=np.float64)
+            # one count over (row, bucket) for the whole slice
+            cells: list[int] = []
             for row, text in enumerate(texts):
                 words = [w for w in re.split(r"[ \t\r\n]+", text) if w][:MAX_TOKENS]
-                np.add.at(out[row], [bucket(w) for w in words], 1.0)
-            return out
+                cells.extend([row * width + bucket(w) for w in words])
+            counts = np.bincount(np.array(cells, dtype=np.int64), minlength=len(texts) * width)
+            return counts.reshape(len(texts), width).astype(np.float64)
 
         return encode
 

@@ -14,6 +14,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shelfspark.operators.skew import spread_if_small
+
 # pos/last/depth: nested-set position; tag is '#text', '#raw' (script, style, template) or
 # '#comment' for strings; attrs of elements, text of strings.
 NODES_DDL = (
@@ -26,7 +28,6 @@ _VOID = frozenset(
 )
 _RAW = frozenset(("script", "style", "template"))
 _CHARS_PER_BATCH = 2 << 20
-SMALL_INPUT_BYTES = 64 << 20
 
 
 # One token of markup. Possessive repeats: no input makes the match run long.
@@ -169,18 +170,6 @@ def _node_arrays(trees: list[list[list]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
 
 
-def _spread_if_small(df: DataFrame) -> DataFrame:
-    """Few, small input files would leave cores idle while Python reads markup.
-
-    Only an input whose size is known to be small is redistributed; a large one already has more
-    splits than cores and must not be shuffled.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def page_nodes(
     pages: DataFrame,
     keys: list[str],
@@ -223,4 +212,4 @@ def page_nodes(
                     found, size = [], 0
             yield packed(batch, found)
 
-    return _spread_if_small(pages.select(*names, html)).mapInArrow(read, ddl)
+    return spread_if_small(pages.select(*names, html)).mapInArrow(read, ddl)

@@ -591,25 +591,30 @@ def detail_records_http(details: DataFrame, profile: SiteProfile, url: str = "ur
 
 def product_fields(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Six-column record of a page: embedded JSON first, then heading and page text."""
-    doc = M.embedded_json(F.col("source"), S.PAGE_JSON_ID)
-    n = F.col("nodes")
-    staged = page_nodes(pages, [url], html=html, keep_source=True).withColumn("_doc", doc)
+    # the JSON is read before the tree, so the page itself need not come back from Python
+    docs = pages.select(url, html, M.embedded_json(F.col(html), S.PAGE_JSON_ID).alias("_doc"))
 
     def json(paths) -> Column:
         return N.variant_text(N.pick_first(F.col("_doc"), paths))
 
-    return staged.select(
-        F.col(url).alias("url"),
-        T.product_id_from_url(F.col(url), missing=None, strict=True).alias("tcin"),
-        F.coalesce(
-            T.blank_to_null(json(S.JSON_TITLE)), M.find_text(n, M.tagged("h1"))
-        ).alias("title"),
-        F.coalesce(
-            T.blank_to_null(json(S.JSON_PRICE)), P.first_dollar_text(visible_text(n))
-        ).alias("price"),
+    read = docs.select(
+        url,
+        html,
+        T.blank_to_null(json(S.JSON_TITLE)).alias("_title"),
+        T.blank_to_null(json(S.JSON_PRICE)).alias("_price"),
         json(S.JSON_RATING).try_cast("double").alias("rating_avg"),
         json(S.JSON_RATING_COUNT).try_cast("int").alias("review_count"),
     )
+    trees = page_nodes(read, [url, "_title", "_price", "rating_avg", "review_count"], html=html)
+    n = F.col("nodes")
+    return trees.select(
+        F.col(url).alias("url"),
+        T.product_id_from_url(F.col(url), missing=None, strict=True).alias("tcin"),
+        F.coalesce("_title", M.find_text(n, M.tagged("h1"))).alias("title"),
+        F.coalesce("_price", P.first_dollar_text(visible_text(n))).alias("price"),
+        "rating_avg",
+        "review_count",
+    )
 
 
 # -- links and the page frontier --------------------------------------------------------------

@@ -16,6 +16,7 @@ from shelfspark.operators.embed import (
     image_vectors,
     text_vectors,
 )
+from shelfspark.operators.skew import spread_if_small
 from shelfspark.session import configure, scratch
 from shelfspark.sources.readers import read_products
 from shelfspark.sources.writers import add_to_collection
@@ -35,7 +36,7 @@ def prepare(products: DataFrame, order: str | list[str]) -> DataFrame:
     have = set(products.columns)
     parts = [F.col(c) if c in have else F.lit(None).cast("string") for c in _TEXT_COLUMNS]
     images = F.col("images") if "images" in have else F.lit(None).cast("string")
-    rows = products.select(
+    rows = spread_if_small(products).select(
         *([order] if isinstance(order, str) else order),
         T.safe_str(F.col("product_id")).alias("id"),
         T.document_text(*parts).alias("document"),

@@ -37,10 +37,10 @@ def _details(spark, sf):
 @query(
     "h1_product_links",
     f"""select page_id, '{BASE}' || href as url, cast(min(pos) as integer) as pos from ({LINKS_SQL})
-      where href > '/b' group by page_id, href""",
+      where not contains(href, ',') group by page_id, href""",
 )
 def page_links(spark, sf):
-    accept = lambda u: u > BASE + "/b"
+    accept = lambda u: u.rlike(r"^https://shop\.example/[^,]+$")
     return H.product_links(load(spark, sf, "pages"), ["page_id"], BASE, accept)
 
 

@@ -4,27 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from shelfspark.functions.text import blank_to_null, let, strip
+from shelfspark.functions.text import WHITESPACE, blank_to_null, let, strip
 
 
 def attr(node: Column, name: str) -> Column:
     return node["attrs"][name]
 
 
-def has_class(node: Column, token: str) -> Column:
-    return F.array_contains(F.split(attr(node, "class"), r"\s+"), token)
-
-
 def is_string(node: Column) -> Column:
     return node["tag"].startswith("#")
 
 
-def _safe(test):
-    return lambda n: F.coalesce(test(n), F.lit(False))
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _lambda(body: str) -> Column:
+    """A lambda that uses nothing but its own ``n``; as SQL it is one step to build."""
+    return F.expr(f"n -> {body}")
 
 
 def find_all(nodes: Column, test) -> Column:
-    return F.filter(nodes, _safe(test))
+    """Nodes that pass; ``test`` is SQL over ``n`` (``tagged``) or a function of a node column."""
+    if isinstance(test, str):
+        return F.call_function("filter", nodes, _lambda(f"coalesce({test}, false)"))
+    return F.filter(nodes, lambda n: F.coalesce(test(n), F.lit(False)))
 
 
 def find(nodes: Column, test) -> Column:
@@ -32,18 +37,23 @@ def find(nodes: Column, test) -> Column:
     return F.get(find_all(nodes, test), F.lit(0))
 
 
-def tagged(tag: str, name: str | None = None, value: str | None = None, pattern: str | None = None):
+def tagged(tag: str, name: str | None = None, value: str | None = None, pattern: str | None = None) -> str:
     """Test: tag, and an attribute that equals ``value`` or holds ``pattern`` (or just exists)."""
+    ok = f"n.tag = {sql_text(tag)}"
+    if name is None:
+        return ok
+    found = f"n.attrs[{sql_text(name)}]"
+    if value is not None:
+        return f"{ok} and {found} = {sql_text(value)}"
+    if pattern is not None:
+        return f"{ok} and {found} rlike {sql_text(pattern)}"
+    return f"{ok} and {found} is not null"
 
-    def test(n: Column) -> Column:
-        ok = n["tag"] == tag
-        if value is not None:
-            return ok & (attr(n, name) == value)
-        if pattern is not None:
-            return ok & attr(n, name).rlike(pattern)
-        return ok & attr(n, name).isNotNull() if name else ok
 
-    return test
+def classed(tag: str, token: str) -> str:
+    """Test: tag with a class token."""
+    classes = f"split(n.attrs['class'], {sql_text(chr(92) + 's+')})"
+    return f"n.tag = {sql_text(tag)} and array_contains({classes}, {sql_text(token)})"
 
 
 def within(nodes: Column, node: Column) -> Column:
@@ -71,14 +81,18 @@ def parent(nodes: Column, node: Column) -> Column:
     )
 
 
+def _mapped(items: Column, body: str) -> Column:
+    return F.call_function("transform", items, _lambda(body))
+
+
 def strings(part: Column) -> Column:
     """Raw page texts of a slice of nodes."""
-    return F.transform(F.filter(part, lambda n: n["tag"] == "#text"), lambda n: n["text"])
+    return _mapped(find_all(part, "n.tag = '#text'"), "n.text")
 
 
 def all_strings(part: Column) -> Column:
     """Texts, scripts and comments alike, as a plain string search sees them."""
-    return F.transform(F.filter(part, is_string), lambda n: n["text"])
+    return _mapped(find_all(part, "startswith(n.tag, '#')"), "n.text")
 
 
 def raw_text(part: Column) -> Column:
@@ -87,7 +101,8 @@ def raw_text(part: Column) -> Column:
 
 def text(part: Column, sep: str = "") -> Column:
     """Stripped non-empty texts of a slice joined by ``sep``."""
-    return F.array_join(F.filter(F.transform(strings(part), strip), lambda t: t != ""), sep)
+    stripped = _mapped(find_all(part, "n.tag = '#text'"), f"btrim(n.text, {sql_text(WHITESPACE)})")
+    return F.array_join(find_all(stripped, "n <> ''"), sep)
 
 
 def text_of(nodes: Column, node: Column, sep: str = "") -> Column:

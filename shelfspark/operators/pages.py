@@ -67,7 +67,7 @@ def gallery_images(nodes: Column, image_host: str, cap: int = S.IMAGE_CAP_ADV) -
     from_gallery = let(
         let(gallery, lambda g: M.within(nodes, g)), lambda i: _image_sources(i, image_host)
     )
-    items = M.find_all(nodes, lambda n: M.attr(n, "data-test").rlike(S.GALLERY_ITEM))
+    items = M.find_all(nodes, f"n.attrs['data-test'] rlike '{S.GALLERY_ITEM}'")
     first_image = F.transform(
         items, lambda e: M.find(M.within(nodes, e), M.tagged("img", "src"))
     )
@@ -168,9 +168,9 @@ def rating_adv(nodes: Column) -> Column:
     Without a box the first hidden span counts, with no range check.
     """
     hidden = M.tagged("span", "aria-hidden", "true")
-    counted = lambda n: (n["tag"] == "span") & M.has_class(n, S.RATING_COUNT_CLASS)
+    counted = M.classed("span", S.RATING_COUNT_CLASS)
     labelled = M.tagged("span", "aria-label", pattern=r"(?i)\d+\s+ratings?")
-    box = M.find(nodes, lambda n: (n["tag"] == "div") & M.has_class(n, S.RATING_BOX_CLASS))
+    box = M.find(nodes, M.classed("div", S.RATING_BOX_CLASS))
 
     def in_box(inside: Column) -> Column:
         values = F.transform(
@@ -284,12 +284,12 @@ def variant_colors(nodes: Column) -> Column:
 
 def chip_colors(nodes: Column) -> Column:
     """Texts of the colour chips; an unlabelled chip gives an empty string."""
-    carousel = M.find(nodes, lambda n: (n["tag"] == "div") & M.has_class(n, S.CAROUSEL_CLASS))
+    carousel = M.find(nodes, M.classed("div", S.CAROUSEL_CLASS))
     texts = let(
         let(carousel, lambda c: M.within(nodes, c)),
         lambda inside: M.texts_of(
             nodes,
-            M.find_all(inside, lambda n: (n["tag"] == "a") & M.has_class(n, S.CHIP_CLASS)),
+            M.find_all(inside, M.classed("a", S.CHIP_CLASS)),
         ),
     )
     return F.coalesce(texts, N.empty_list())
@@ -332,26 +332,17 @@ def listing_cards(pages: DataFrame, keys: list[str], variant: str = "adv") -> Da
 
 
 def title_link(nodes: Column) -> Column:
-    def href(*patterns: str):
-        def test(n: Column) -> Column:
-            ok = n["tag"] == "a"
-            for p in patterns:
-                ok = ok & M.attr(n, "href").rlike(p)
-            return ok
-
-        return test
-
     return F.coalesce(
         M.find(nodes, M.tagged("a", "data-test", S.CARD_TITLE)),
-        M.find(nodes, href("/p/", "/A-")),
-        M.find(nodes, href(r"/p/.*/A-\d+")),
-        M.find(nodes, href(r"/A-\d+")),
+        M.find(nodes, "n.tag = 'a' and contains(n.attrs['href'], '/p/') and contains(n.attrs['href'], '/A-')"),
+        M.find(nodes, M.tagged("a", "href", pattern=r"/p/.*/A-\d+")),
+        M.find(nodes, M.tagged("a", "href", pattern=r"/A-\d+")),
     )
 
 
 def card_title(nodes: Column, link: Column) -> Column:
     """Link text, its label, its title, else the first text of 4 to 199 characters, no price."""
-    blocks = M.find_all(nodes, lambda n: n["tag"].isin("h2", "h3", "span", "div"))
+    blocks = M.find_all(nodes, "n.tag in ('h2', 'h3', 'span', 'div')")
     fallback = N.first_of(
         F.filter(
             M.texts_of(nodes, blocks),
@@ -372,10 +363,10 @@ def card_records(cards: DataFrame, profile: SiteProfile, keys: list[str]) -> Dat
         M.find_text(n, M.tagged("a", "data-test", pattern="(?i)brand")),
     )
     comparison = M.find_text(n, M.tagged("span", "data-test", S.COMPARISON_PRICE))
-    best = M.find(n, lambda e: F.contains(F.lower(M.attr(e, "aria-label")), F.lit("bestseller")))
+    best = M.find(n, "contains(lower(n.attrs['aria-label']), 'bestseller')")
     best_text = F.exists(M.all_strings(n), lambda t: t.rlike("(?i)Bestseller"))
     ribbon = let(
-        M.find(n, lambda e: (e["tag"] == "div") & F.contains(M.attr(e, "class"), F.lit(S.RIBBON_CLASS))),
+        M.find(n, M.tagged("div", "class", pattern=S.RIBBON_CLASS)),
         lambda e: F.contains(F.lower(M.raw_text(M.within(n, e))), F.lit("new at")),
     )
     price_tag = M.find(n, M.tagged("span", "data-test", S.CURRENT_PRICE))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfspark.functions.text import blank_to_null, safe_str
-from shelfspark.operators.skew import HOT_SHARE, hot_keys, splittable_left_join
+from shelfspark.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys, splittable_left_join
 
 MISSING = "missing product_id"
 DUPLICATE = "duplicate product_id"
@@ -93,16 +93,19 @@ def price_history(
     time: str,
     price: str,
     ties: list[str],
-    bucket: str = "day",
+    bucket: str = "hour",
     share: int = HOT_SHARE,
+    least: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``previous_price`` and ``price_change`` of each record against the one before it.
 
-    Ordinary ids are one window each. Ids with over 1/share of all rows (fewer than ``share``)
-    are cut into time buckets: each bucket is a window of its own, and its first record takes
-    the last price of the id's bucket before it.
+    Ordinary ids are one window each. Ids with over 1/share of all rows and at least ``least``
+    (fewer than ``share`` of them) are cut into time buckets: each bucket is a window of its own,
+    and its first record takes the last price of the id's bucket before it. Records of one
+    instant share a bucket, so the finer the times, the finer ``bucket`` may be. ``df`` is read
+    several times, mostly for a few columns: pass a stored table.
     """
-    hot = hot_keys(df, key, share)
+    hot = hot_keys(df, key, share, least)
     # fewer than `share` rows by construction, so the broadcast is bounded
     tagged = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
         "_bucket", F.when(F.col("_hot").isNotNull(), F.date_trunc(bucket, time))
@@ -117,7 +120,7 @@ def price_history(
         .groupBy(key, "_bucket")
         .agg(F.max_by(price, F.struct(time, *ties)).alias("_last"))
     )
-    # one row per hot id and bucket: at most `share` ids, one row for each day they were seen
+    # one row per hot id and bucket: at most `share` ids, one row for each bucket they were seen in
     before = ends.select(
         F.col(key).alias("_k"),
         F.col("_bucket").alias("_b"),

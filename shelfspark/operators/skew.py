@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# At most this many ids can each hold more than a 1/HOT_SHARE part of the rows.
-HOT_SHARE = 200
+# Fewer than HOT_SHARE ids can each hold more than a 1/HOT_SHARE part of the rows; what stays
+# whole is at most that part (5 GB of 100 TB), or HOT_ROWS rows of a smaller input.
+HOT_SHARE = 20_000
+HOT_ROWS = 1_000_000
 SMALL_INPUT_BYTES = 64 << 20
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than 1/share of all rows: fewer than ``share`` of them, whatever the data."""
+def hot_keys(
+    df: DataFrame, key: str, share: int = HOT_SHARE, least: int = HOT_ROWS
+) -> DataFrame:
+    """Keys with more than 1/share of all rows, and at least ``least``.
+
+    There are fewer than ``share`` of them, whatever the data.
+    """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.filter(F.col("_n") * share > total).select(F.col(key).alias("_hot"))
+    hot = (F.col("_n") >= least) & (F.col("_n") * share > total)
+    return counts.filter(hot).select(F.col(key).alias("_hot"))
 
 
 def splittable_left_join(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark import schema
+from shelfspark.functions import markup as M
 from shelfspark.functions import nested as N
 from shelfspark.functions import text as T
 from shelfspark.operators import analytics as A
@@ -235,8 +236,6 @@ def keep_first(spark, sf):
       select page_id, href, cast(min(pos) as integer) as pos, count(*) as n from u group by page_id, href""",
 )
 def distinct_links(spark, sf):
-    from shelfspark.functions import markup as M
-
     links = load(spark, sf, "pages").select("page_id", F.posexplode(M.link_hrefs(F.col("html"))).alias("pos", "href"))
     return links.groupBy("page_id", "href").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
 
@@ -268,7 +267,7 @@ def price_history_hot(spark, sf):
         F.when(F.col("l_orderkey") % 3 == 0, F.lit("0")).otherwise(F.col("product_id")).alias("id"),
         "scraped_at", "l_orderkey", "l_linenumber", "price_regular", "price_current",
     )
-    h = D.price_history(s, "id", "scraped_at", "price_current", _TIES)
+    h = D.price_history(s, "id", "scraped_at", "price_current", _TIES, share=200, least=0)
     return h.drop("price_regular", "price_change")
 
 
@@ -336,8 +335,6 @@ def first_pages(spark, sf):
       select page_id, cast(pos as integer) as pos, href, row_number() over (partition by page_id order by pos) - 1 = pos as in_order from u""",
 )
 def encounter_order(spark, sf):
-    from shelfspark.functions import markup as M
-
     links = load(spark, sf, "pages").select("page_id", F.posexplode(M.link_hrefs(F.col("html"))).alias("pos", "href"))
     return links.select("page_id", "pos", "href", (F.col("pos") >= 0).alias("in_order"))
 

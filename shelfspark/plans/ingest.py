@@ -31,7 +31,8 @@ def prepare(products: DataFrame, order: str | list[str]) -> DataFrame:
     """(order, id, document, metadata, first_image_url, reason) of every product row.
 
     ``order`` is the encounter order, without ties within an id. Rows with a ``reason`` are
-    rejects.
+    rejects. ``products`` is read twice, once for ids and order alone: pass a stored table, not
+    a plan that reads pages.
     """
     have = set(products.columns)
     parts = [F.col(c) if c in have else F.lit(None).cast("string") for c in _TEXT_COLUMNS]

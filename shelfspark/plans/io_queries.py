@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfspark import schema
-from shelfspark.functions import nested as N
 from shelfspark.operators.dedupe import union_all
 from shelfspark.plans.ingest import run_ingest
 from shelfspark.plans.registry import query

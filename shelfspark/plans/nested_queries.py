@@ -35,9 +35,6 @@ def first_existing_path(spark, sf):
     )
 
 
-_LINES = "split(text, chr(10))"
-
-
 @query(
     "x24_description_without_bullets",
     f"""with l as (select conv_id, turn, text, trim(string_split(text, chr(10))[1], {WS_SQL}) as first_line from conversations)

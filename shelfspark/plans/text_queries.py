@@ -228,9 +228,6 @@ def query_param(spark, sf):
     )
 
 
-_COLORS = "split(concat(upper(replace(title, ' ', '-')), '|', brand, '|P'), '[|]')"
-
-
 @query(
     "x17_selected_color",
     """select ord, case when ord % 2 = 0 then 'p' when ord % 3 = 0 then replace(title, ' ', '-') else '' end as color from {catalog}""",

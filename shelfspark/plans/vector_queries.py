@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.functions import nested as N
 from shelfspark.functions.vectors import fuse, l2_normalize, norm
 from shelfspark.operators import embed as E
 from shelfspark.operators.dedupe import accepted

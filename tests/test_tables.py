@@ -96,10 +96,12 @@ def test_price_history_splits_hot_products(spark):
     df = spark.createDataFrame(rows, "id string, day int, tie int, i long, price double").withColumn(
         "at", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(day)")
     )
-    history = D.price_history(df, "id", "at", "price", ["tie", "i"])
-    assert {r.i: r.previous_price for r in history.collect()} == want
-    assert [r[0] for r in K.hot_keys(df, "id", 4).collect()] == ["hot"]
-    assert K.hot_keys(df, "id").count() < K.HOT_SHARE
+    for share, least in ((4, 0), (10**6, 0), (K.HOT_SHARE, K.HOT_ROWS)):
+        # one hot id, every id hot, none hot
+        history = D.price_history(df, "id", "at", "price", ["tie", "i"], share=share, least=least)
+        assert {r.i: r.previous_price for r in history.collect()} == want
+    assert [r[0] for r in K.hot_keys(df, "id", 4, 0).collect()] == ["hot"]
+    assert K.hot_keys(df, "id", 200, 0).count() < 200 and K.hot_keys(df, "id").count() == 0
 
 
 def test_before_marker_rows(spark):

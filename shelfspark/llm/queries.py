@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import exact_dedup, license_scan, packing, url_filter  # noqa: F401
+from shelfspark.llm import ann, exact_dedup, license_scan, packing, url_filter, warc  # noqa: F401
 from shelfspark.llm.registry import ORACLES, QUERIES  # noqa: F401

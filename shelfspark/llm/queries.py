@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import ann, exact_dedup, license_scan, packing, url_filter, warc  # noqa: F401
+from shelfspark.llm import (  # noqa: F401
+    ann,
+    exact_dedup,
+    license_scan,
+    mixing,
+    packing,
+    quality,
+    url_filter,
+    warc,
+)
 from shelfspark.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -74,3 +74,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    codes = np.arange(256, dtype=np.uint64)
+    codes[65:91] += np.uint64(32)
+    blank = np.zeros(256, bool)
+    blank[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+    return mix64(codes + np.uint64(0x9E3779B97F4A7C15)), blank
+
+
+_BYTE_CODES, _BLANK = _byte_tables()
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, n + 1 word offsets) of the words of texts data[at[i]:at[i + 1]].
+
+    A word is a run without x20 and x09 to x0D; A-Z count as a-z.
+    """
+    inside = ~_BLANK[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = at[:-1][at[:-1] < at[1:]]
+    first[begins] = inside[begins]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, np.zeros(len(at), np.int64)
+    where = np.flatnonzero(inside)
+    run = np.searchsorted(where, starts)
+    length = np.diff(np.append(run, len(where)))
+    place = np.arange(len(where)) - np.repeat(run, length)
+    powers = np.multiply.accumulate(np.full(int(length.max()), _STEP))
+    sums = np.add.reduceat(_BYTE_CODES[data[where]] * powers[place], run)
+    return mix64(sums + length.astype(np.uint64)), starts, np.searchsorted(starts, at)

@@ -209,7 +209,9 @@ def fit_mixture(
 def copies_of(rate: Column, key: Column, salt: int = 0) -> Column:
     """Whole copies whose mean over ids is the rate."""
     chance = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("bigint")
+    # a rate a hair under a whole number, as rounding leaves it, is that number
+    whole = F.floor(rate + F.lit(1e-4))
+    return (whole + (chance < rate - whole).cast("int")).cast("bigint")
 
 
 def rates(members: DataFrame, mixture: Mixture) -> DataFrame:

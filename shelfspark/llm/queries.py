@@ -5,6 +5,7 @@ from __future__ import annotations
 from shelfspark.llm import (  # noqa: F401
     ann,
     exact_dedup,
+    jaccard_join,
     license_scan,
     mixing,
     packing,

@@ -1,7 +1,7 @@
 """Quality classifier: a linear-chain conditional random field over a document's lines.
 
-Every line is good or bad. Its features are character shares, length, word length and repetition of
-the line itself and of the lines before and after it; neighbouring labels are tied by transition
+Every line is good or bad. Its features are character shares, length, word length and repetition
+(of its words, and of the whole line) for the line itself and the lines before and after it; neighbouring labels are tied by transition
 weights. The forward-backward recursion gives each line's marginal, and the length-weighted mean of
 the marginals is the document's quality, mapped to a probability by a fitted logistic curve.
 
@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfspark.llm.common import read, slices, text_bytes, text_of
+from shelfspark.llm.common import read, slices, text_bytes, text_of, word_hashes
 from shelfspark.llm.registry import query
 
 FIT_ROWS = 3000
@@ -85,9 +85,13 @@ def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     repeated = alike.copy()
     repeated[:-1] |= alike[1:]
     words = counts[:, _BLANK] + 1
+    hashes, begins, _ = word_hashes(data, at)
+    of_line = np.searchsorted(starts, begins, side="right") - 1
+    again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (of_line[1:] == of_line[:-1])) + 1
     own = np.column_stack(
         [
             share,
+            np.bincount(of_line[again], minlength=n) / words,
             np.log1p(length) / 5,
             np.minimum(length / words, 40) / 10,
             repeated,
@@ -281,7 +285,7 @@ def fit(
 
 
 def _width() -> int:
-    return 3 * (_CLASSES + 5)
+    return 3 * (_CLASSES + 6)
 
 
 def score_of(model: Model, text: Column) -> Column:

@@ -33,7 +33,8 @@ from shelfspark.llm.registry import query
 from shelfspark.session import scratch
 
 CHUNK_BYTES = 1 << 16
-_SEPARATOR = b"\r\n\r\nWARC/1.1\r\n"
+_VERSION = b"WARC/1.1\r\n"
+_SEPARATOR = b"\r\n\r\n" + _VERSION
 _EMPTY_ID = "none"
 
 
@@ -60,9 +61,13 @@ def chunks(payload: bytes, limit: int = CHUNK_BYTES) -> Iterator[memoryview]:
         end = min(start + limit, n)
         while start < end < n and payload[end] & 0xC0 == 0x80:
             end -= 1
-        if cut_at >= 0 and cut_at + 4 <= end:
-            end = cut_at + 4
-            cut_at = payload.find(_SEPARATOR, end)
+        if payload.startswith(_VERSION, start):
+            # after the header's blank line, this would read as a separator
+            end = min(end, start + 2)
+        while 0 <= cut_at < start:
+            cut_at = payload.find(_SEPARATOR, start)
+        if cut_at >= 0 and cut_at + 6 <= end:
+            end = cut_at + 6
         yield view[start:end]
         start = end
         if n == 0:
@@ -198,10 +203,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             out: dict[str, list] = {name: [] for name in names}
             for value in batch.column(0):
-                record = value.as_py().removeprefix(b"WARC/1.1\r\n").removesuffix(b"\r\n\r\n")
-                head, _, block = record.partition(b"\r\n\r\n")
+                head, _, rest = value.as_py().removeprefix(_VERSION).partition(b"\r\n\r\n")
                 fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n"))
-                if int(fields["Content-Length"]) != len(block):
+                block = rest[: int(fields["Content-Length"])]
+                # the last record of a file still has its blank line
+                if len(block) != int(fields["Content-Length"]) or rest[len(block) :] not in (b"", b"\r\n\r\n"):
                     raise ValueError(f"record {fields.get('WARC-Record-ID')} is not as long as its header says")
                 name = fields["X-Page-ID"]
                 refers = fields.get("WARC-Refers-To")

@@ -19,11 +19,14 @@ rows are packed each. A null doc_id stays null. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.llm.common import read, slices
@@ -33,7 +36,7 @@ MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Different chunks of text a task remembers.
-CHUNKS_KEPT = 200_000
+CHUNKS_KEPT = 600_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, offset long, ids array<int>"
@@ -46,51 +49,83 @@ def cut(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     return [max_length] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a printable byte as itself and the others as letters from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+# How the given tokenizer splits a normalised text into words, as its file says.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Chunks that are lower-cased and split here, being in composed form; control characters, combining
+# marks, letters with a canonical twin or two small forms, rarer scripts and the brackets of special
+# tokens are left to the tokenizer.
+_PLAIN = re.compile("[!-;=-~\u00c0-\u02af\u0370-\u0373\u0375-\u037d\u037f-\u0386\u0388-\u03a2\u03a4-\u0482\u048a-\u04ff]+")
+
+
 class ChunkTokenizer:
-    """Token ids of texts, tokenising each different chunk between blanks and line ends once."""
+    """Token ids of texts, tokenising each different chunk between blanks and line ends once.
+
+    Chunks of common scripts are split into words here, and words go to the vocabulary's merges; all
+    others pass through the whole tokenizer. Both tables are emptied when they hold ``kept`` entries.
+    """
 
     def __init__(self, path: str, kept: int = CHUNKS_KEPT) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.kept = kept
+        self.words: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {"": 0}
-        self.ids = [np.zeros(0, np.uint32)]
-        self.start = np.zeros(2, np.int64)
-
-    def _learn(self, fresh: list[str]) -> None:
-        if len(self.code) + len(fresh) > self.kept:
-            self.clear()
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for chunk, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.code[chunk] = len(self.ids)
-                self.ids.append(np.array(code.ids, np.uint32))
-        lengths = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        self.start = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-        self.flat = np.concatenate(self.ids)
+        self.ids = array("I")
+        self.start = array("q", [0, 0])
+
+    def _word(self, word: str) -> list[int]:
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(raw)]
+
+    def _chunk(self, chunk: str) -> list[int]:
+        if not _PLAIN.fullmatch(chunk):
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        out: list[int] = []
+        for word in _WORDS.findall(chunk.lower()):
+            ids = self.words.get(word)
+            if ids is None:
+                if len(self.words) >= self.kept:
+                    self.words.clear()
+                ids = self.words[word] = self._word(word)
+            out += ids
+        return out
+
+    def _learn(self, fresh: set[str]) -> None:
+        code, ids, start = self.code, self.ids, self.start
+        for chunk in fresh:
+            code[chunk] = len(start) - 1
+            ids.extend(self._chunk(chunk))
+            start.append(len(ids))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, n + 1 offsets)."""
-        chunks = [text.replace("\n", " ").split(" ") for text in texts]
-        different = set().union(*chunks)
-        if not different <= self.code.keys():
-            fresh = different - self.code.keys()
-            if len(self.code) + len(fresh) > self.kept:
-                fresh = different - {""}
-            self._learn(sorted(fresh))
-        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        code = self.code
-        codes = np.fromiter((code[c] for part in chunks for c in part), np.int64, int(counts.sum()))
-        first, lengths = self.start[codes], self.start[codes + 1] - self.start[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(first - (ends - lengths), lengths)
-        bounds = np.concatenate([np.zeros(1, np.int64), ends])[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])]
-        return (self.flat[at] if total else np.zeros(0, np.uint32)), bounds
+        counts = np.array([text.count(" ") + text.count("\n") + 1 for text in texts], np.int64)
+        chunks = " ".join(texts).replace("\n", " ").split(" ")
+        fresh = set(chunks) - self.code.keys()
+        if len(self.code) + len(fresh) > self.kept:
+            self.clear()
+            fresh = set(chunks) - {""}
+        self._learn(fresh)
+        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
+        start = np.array(self.start)
+        first, lengths = start[codes], start[codes + 1] - start[codes]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], lengths)
+        bounds = ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])]
+        return np.array(self.ids, np.uint32)[at], bounds
 
 
 def pieces(

@@ -142,16 +142,33 @@ def or_else(*options: Column) -> Column:
 # -- flat patterns straight on the HTML text: no tree, no Python ------------------------------
 
 _NOT_CONTENT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_LINK = r"""(?is)<a\s[^>]*?(?<=\s)href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-# Predefined entities, the ampersand last.
-_ENTITIES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+# attributes before the wanted one, with quoted values taken whole
+_BEFORE = r"""(?=[\s/])(?:[\s/]*(?!{name}\s*=)[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*+[\s/]*{name}\s*=\s*"""
+_LINK = "(?is)<a" + _BEFORE.format(name="href") + r"""("[^"]*"|'[^']*'|[^\s>"']+)"""
+# Predefined entities; the ampersand comes last, with its numbers.
+_ENTITIES = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"))
+_AMPERSAND = "&(?:amp|#0*38|#[xX]0*26);"
+
+
+def _decode_numbers(c: Column) -> Column:
+    """Decode character references by number, but for the ampersand's."""
+    marks = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([0-9]{1,9}|[xX][0-9a-fA-F]{1,8});"), 1))
+
+    def swap(done: Column, mark: Column) -> Column:
+        hexed = F.lower(F.left(mark, F.lit(1))) == "x"
+        code = F.when(hexed, F.conv(F.substring(mark, 2, 9), 16, 10)).otherwise(mark).try_cast("bigint")
+        fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(fine, F.replace(done, F.concat(F.lit("&#"), mark, F.lit(";")), char)).otherwise(done)
+
+    return F.when(F.contains(c, F.lit("&#")), F.aggregate(marks, c, swap)).otherwise(c)
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode the predefined entities; all others need the page tree."""
+    """Decode the predefined entities and references by number; other names need the page tree."""
     for name, char in _ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    return F.regexp_replace(_decode_numbers(c), _AMPERSAND, "&")
 
 
 def link_hrefs(html: Column) -> Column:
@@ -162,11 +179,15 @@ def link_hrefs(html: Column) -> Column:
 
 
 def embedded_json(html: Column, script_id: str) -> Column:
-    """JSON of ``<script id=...>`` as a variant; null if absent or malformed."""
-    body = F.regexp_extract(
-        html, rf"""(?is)<script\b[^>]*\bid\s*=\s*["']?{script_id}["']?[^>]*>(.*?)</script""", 1
-    )
-    return F.try_parse_json(blank_to_null(body))
+    """JSON of ``<script id=...>``, with exactly that id, as a variant; null if absent or malformed.
+
+    Comments and other scripts are passed over whole, so nothing inside them is taken.
+    """
+    wanted = rf"""(?:"{script_id}"|'{script_id}'|{script_id}(?=[\s>]))"""
+    script = "<script" + _BEFORE.format(name="id") + wanted + r"[^>]*>(.*?)</script"
+    passed = r"<!--.*?-->|" + script + r"|<script\b.*?</script"
+    bodies = F.regexp_extract_all(html, F.lit("(?is)" + passed), 1)
+    return F.try_parse_json(F.get(F.filter(bodies, lambda b: b != ""), F.lit(0)))
 
 
 def keyword_flag(html: Column, pattern: str) -> Column:
@@ -175,12 +196,12 @@ def keyword_flag(html: Column, pattern: str) -> Column:
 
 
 def page_position(text_: Column) -> Column:
-    """struct(page, pages) of a ``page X of Y`` text, null if there is none."""
+    """struct(page, pages) of a ``page X of Y`` text, null if there is none; null numbers beyond 64 bits."""
     pattern = r"(?i)page\s+(\d+)\s+of\s+(\d+)"
     return F.when(
         text_.rlike(pattern),
         F.struct(
-            F.regexp_extract(text_, pattern, 1).cast("int").alias("page"),
-            F.regexp_extract(text_, pattern, 2).cast("int").alias("pages"),
+            F.regexp_extract(text_, pattern, 1).try_cast("bigint").alias("page"),
+            F.regexp_extract(text_, pattern, 2).try_cast("bigint").alias("pages"),
         ),
     )

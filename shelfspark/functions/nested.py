@@ -256,10 +256,10 @@ def iso_to_time(c: Column) -> Column:
 
 
 def time_to_iso(c: Column) -> Column:
-    """ISO-8601 text; a fraction only where there is one."""
+    """ISO-8601 text, a fraction only where there is one; null without a time."""
     whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     fraction = F.date_format(c, "SSSSSS")
-    return F.when(fraction == "000000", whole).otherwise(F.concat_ws(".", whole, fraction))
+    return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
 
 
 def run_label(c: Column) -> Column:

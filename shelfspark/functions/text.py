@@ -57,6 +57,11 @@ def is_product_url(url: Column, host: str) -> Column:
     return url.rlike(r"^https?://" + host.replace(".", r"\.") + r"/p/.+/-/A-\d+")
 
 
+def hard_cut(c: Column, limit: int) -> Column:
+    """The first ``limit`` characters."""
+    return F.left(c, F.lit(limit))
+
+
 def cut_at_word(c: Column, limit: int = MAX_DOCUMENT_CHARS) -> Column:
     """Cut text over ``limit`` code points back to its last space, or hard if that leaves nothing."""
 

@@ -13,34 +13,52 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfspark.functions.text import blank_to_null, safe_str
 from shelfspark.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys, splittable_left_join
+from shelfspark.session import scratch
 
 MISSING = "missing product_id"
 DUPLICATE = "duplicate product_id"
 EMPTY = "empty document text"
+# More first records than this are not gathered in one task.
+FIRST_IN_ONE_TASK = 10_000
 
 
-def _key(order: list[str]) -> Column:
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+def _position(order: list[str], latest: bool = False) -> Column:
+    """A key that is never null: missing order values come last among firsts, first among latest."""
+    parts = []
+    for i, c in enumerate(order):
+        missing = F.col(c).isNull()
+        parts += [(~missing if latest else missing).alias(f"m{i}"), F.col(c).alias(f"v{i}")]
+    return F.struct(*parts)
+
+
+def _content(df: DataFrame) -> Column:
+    """A number that differs between rows that differ: the last tie-break of an order."""
+    return F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+
+
+def _extreme(df: DataFrame, key: str, order: list[str], latest: bool) -> DataFrame:
+    """One row per key at its first or last position.
+
+    The position is a combined minimum over narrow columns; whole rows are only joined back, on key
+    *and* position, so a hot key's other rows never gather. Rows that tie in ``order`` are told
+    apart by their content, and of equal rows one is taken.
+    """
+    rows = df.withColumn("_tie", _content(df)).withColumn("_at", _position([*order, "_tie"], latest))
+    best = F.max("_at") if latest else F.min("_at")
+    ends = rows.groupBy(F.col(key).alias("_end_key")).agg(best.alias("_end_at"))
+    found = rows.join(ends, F.col(key).eqNullSafe(F.col("_end_key")) & (F.col("_at") == F.col("_end_at")))
+    one = Window.partitionBy("_end_key").orderBy("_tie")
+    return found.withColumn("_place", F.row_number().over(one)).filter("_place = 1").select(*df.columns)
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """First row per key in encounter order; ``order`` must not tie between differing rows."""
-    rest = [c for c in df.columns if c != key]
-    return (
-        df.groupBy(key)
-        .agg(F.min_by(F.struct(*rest), _key(order)).alias("_row"))
-        .select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
-    )
+    """First row per key in encounter order; rows without an order value come last."""
+    return _extreme(df, key, order, latest=False)
 
 
 def keep_latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Last row per key by ``order``."""
-    rest = [c for c in df.columns if c != key]
-    return (
-        df.groupBy(key)
-        .agg(F.max_by(F.struct(*rest), _key(order)).alias("_row"))
-        .select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
-    )
+    """Last row per key by ``order``; rows without an order value come before all others."""
+    return _extreme(df, key, order, latest=True)
 
 
 def with_reject_reason(
@@ -50,26 +68,33 @@ def with_reject_reason(
 
     Checked in turn: missing id, id already claimed by an earlier row, empty document. An id is
     claimed before its document is checked, so a later row never replaces an empty first one.
-    ``order`` (one column, or several with tie-breaks) must not tie within an id. The first
-    position per id is a pre-combined minimum; joining it on both id and position keeps a hot
-    id's rows spread over all tasks.
+    Exactly one row claims an id: rows without an order value come last, ties are broken by content,
+    and of equal rows one is taken. The first position per id is a pre-combined minimum; joining it
+    on both id and position keeps a hot id's rows spread over all tasks.
     """
     by = [order] if isinstance(order, str) else list(order)
-    rows = df.withColumn("_id", blank_to_null(safe_str(F.col(key))))
+    rows = df.withColumn("_id", blank_to_null(safe_str(F.col(key)))).withColumn("_tie", _content(df))
+    rows = rows.withColumn("_at", _position([*by, "_tie"]))
     firsts = (
         rows.filter(F.col("_id").isNotNull())
         .groupBy(F.col("_id").alias("_first_id"))
-        .agg(F.min(_key(by)).alias("_first_at"))
+        .agg(F.min("_at").alias("_first_at"))
     )
-    joined = rows.join(
-        firsts, (F.col("_id") == F.col("_first_id")) & (_key(by) == F.col("_first_at")), "left"
-    )
-    reason = (
-        F.when(F.col("_id").isNull(), MISSING)
-        .when(F.col("_first_id").isNull(), DUPLICATE)
+    at_first = (F.col("_id") == F.col("_first_id")) & (F.col("_at") == F.col("_first_at"))
+    # equal rows share the first position: only they meet, and one of them is accepted
+    one = Window.partitionBy("_first_id").orderBy("_tie")
+    first = rows.join(firsts, at_first).withColumn("_place", F.row_number().over(one))
+    claims = first.select(
+        *[F.col(c) for c in df.columns],
+        F.when(F.col("_place") > 1, DUPLICATE)
         .when(F.coalesce(F.col(document), F.lit("")) == "", EMPTY)
+        .alias("reason"),
+    )
+    others = rows.join(firsts, at_first, "left_anti").select(
+        *[F.col(c) for c in df.columns],
+        F.when(F.col("_id").isNull(), MISSING).otherwise(DUPLICATE).alias("reason"),
     )
-    return joined.select(*[F.col(c) for c in df.columns], reason.alias("reason"))
+    return claims.unionByName(others)
 
 
 def accepted(flagged: DataFrame) -> DataFrame:
@@ -105,10 +130,11 @@ def price_history(
     instant share a bucket, so the finer the times, the finer ``bucket`` may be. ``df`` is read
     several times, mostly for a few columns: pass a stored table.
     """
-    hot = hot_keys(df, key, share, least)
+    # a missing id may be hot too
+    hot = hot_keys(df, key, share, least).withColumn("_is_hot", F.lit(True))
     # fewer than `share` rows by construction, so the broadcast is bounded
-    tagged = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
-        "_bucket", F.when(F.col("_hot").isNotNull(), F.date_trunc(bucket, time))
+    tagged = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn(
+        "_bucket", F.when(F.col("_is_hot"), F.coalesce(F.date_trunc(bucket, time), F.lit("0001-01-01").cast("timestamp_ntz")))
     )
     order = [F.col(time), *[F.col(c) for c in ties]]
     by_bucket = Window.partitionBy(key, "_bucket").orderBy(*order)
@@ -126,7 +152,8 @@ def price_history(
         F.col("_bucket").alias("_b"),
         F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket")).alias("_carried"),
     )
-    joined = lagged.join(before, (F.col(key) == F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))
+    joined = lagged.join(before, same, "left")
     previous = F.when((F.col("_place") == 1) & F.col("_bucket").isNotNull(), F.col("_carried")).otherwise(
         F.col("_previous")
     )
@@ -145,7 +172,27 @@ def first_n(df: DataFrame, n: int | None, order: list[str], zero_means_all: bool
     """
     if n is None or (n == 0 and zero_means_all):
         return df
-    return df.orderBy(*order).limit(n)
+    if n <= FIRST_IN_ONE_TASK:
+        return df.orderBy(*order).limit(n)
+    # sorted ranges, counted; each range then knows how many rows go before it
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    path = scratch(spark, "first")
+    ranged.write.parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    counts = {r["_range"]: r["n"] for r in rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, whole, cut = n, [], None
+    for part in sorted(counts):
+        if counts[part] > left:
+            cut = part
+            break
+        whole.append(part)
+        left -= counts[part]
+    kept = rows.filter(F.col("_range") <= (whole[-1] if whole else -1))
+    if cut is not None and left:
+        # the one range that is cut holds a share of the rows, as every task does
+        kept = kept.unionByName(rows.filter(F.col("_range") == cut).orderBy(*order).limit(left))
+    return kept.drop("_range")
 
 
 def first_pages(df: DataFrame, n: int | None, page: str = "page_num") -> DataFrame:

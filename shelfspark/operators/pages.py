@@ -447,7 +447,7 @@ def card_records_http(
     )
     image = let(M.find(n, M.tagged("img", "role", "presentation")), lambda e: M.attr(e, "src"))
     sale = M.find(n, M.tagged("span", "aria-label", pattern="(?i)Sale|Clearance"))
-    new = M.find(n, M.tagged("span", "aria-label", pattern="new|New"))
+    new = M.find(n, M.tagged("span", "aria-label", pattern="(?i)new"))
     staged = cards.select(
         *keys,
         "block",
@@ -596,6 +596,9 @@ def product_fields(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         json(S.JSON_RATING).try_cast("double").alias("rating_avg"),
         json(S.JSON_RATING_COUNT).try_cast("int").alias("review_count"),
     )
+    # only pages whose JSON left something open are read as markup
+    open_ = F.col("_title").isNull() | F.col("_price").isNull()
+    read = read.withColumn(html, F.when(open_, F.col(html)))
     trees = page_nodes(read, [url, "_title", "_price", "rating_avg", "review_count"], html=html)
     n = F.col("nodes")
     return trees.select(
@@ -610,6 +613,8 @@ def product_fields(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
 # -- links and the page frontier --------------------------------------------------------------
 
+RUN_OF_PAGES = 10_000
+
 
 def product_links(
     pages: DataFrame, keys: list[str], base: str, accept=None, html: str = "html"
@@ -631,9 +636,12 @@ def page_frontier(
     staged = pages.withColumn("_at", M.page_position(F.col(position))).filter(
         F.col("_at.page") < F.col("_at.pages")
     )
-    numbered = staged.select(
-        *keys, url, F.explode(F.sequence(F.col("_at.page") + 1, F.col("_at.pages"))).alias("page")
+    # runs of pages, then pages: no array is longer than a run or the number of runs
+    runs = staged.select(
+        *keys, url, "_at", F.explode(F.sequence(F.col("_at.page") + 1, F.col("_at.pages"), F.lit(RUN_OF_PAGES))).alias("_first")
     )
+    last = F.least(F.col("_first") + (RUN_OF_PAGES - 1), F.col("_at.pages"))
+    numbered = runs.select(*keys, url, F.explode(F.sequence(F.col("_first"), last)).alias("page"))
     offset = (F.col("page") - 1) * S.PAGE_SIZE
     return numbered.select(
         *keys, "page", T.set_query_param(F.col(url), S.PAGE_OFFSET_PARAM, offset).alias("url")

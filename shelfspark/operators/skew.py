@@ -1,4 +1,4 @@
-"""Even work: joins that survive a key holding a third of all rows, and small inputs."""
+"""Even work: joins that survive a key holding a third of all rows."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 # whole is at most that part (5 GB of 100 TB), or HOT_ROWS rows of a smaller input.
 HOT_SHARE = 20_000
 HOT_ROWS = 1_000_000
-SMALL_INPUT_BYTES = 64 << 20
 
 
 def hot_keys(
@@ -35,15 +34,3 @@ def splittable_left_join(left: DataFrame, right: DataFrame, key: str, right_key:
     same = (F.col(key) == F.col(right_key)) & (F.xxhash64(F.col(key)) == F.xxhash64(F.col(right_key)))
     return left.join(right, same, "left")
 
-
-def spread_if_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over the cores before costly per-row work.
-
-    Few, small files would otherwise keep all of it in one task. Only an input whose size is
-    known to be small is redistributed; a large one already has more splits than cores and must
-    not be shuffled.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfspark.functions import nested as N
 from shelfspark.functions.text import is_product_url
 from shelfspark.operators.dedupe import first_n
-from shelfspark.operators.merge import merge_adv, merge_cmp, one_per_key
+from shelfspark.operators.merge import merge_adv, merge_cmp
 from shelfspark.operators.page_tree import page_nodes
 from shelfspark.operators.pages import (
     card_records,
@@ -19,6 +19,7 @@ from shelfspark.operators.pages import (
     product_links,
 )
 from shelfspark.operators.skew import splittable_left_join
+from shelfspark.session import scratch
 from shelfspark.site import SiteProfile
 
 ORDER = ["page_id", "block"]
@@ -29,11 +30,36 @@ _FILLED_BY_DETAIL = (
 )
 
 
-def _one_page_per_url(pages: DataFrame) -> DataFrame:
-    """One page per URL, before any page is read: the first by ``page_id`` if there is one."""
+def _kept(cards: DataFrame) -> DataFrame:
+    """Listing records, written once: their pages are read once, their URLs prune the detail pages."""
+    path = scratch(cards.sparkSession, "listing")
+    cards.write.parquet(path)
+    return cards.sparkSession.read.schema(cards.schema).parquet(path)
+
+
+def _wanted_pages(pages: DataFrame, listed: DataFrame, url: str) -> DataFrame:
+    """One page for each listed URL, before any page is read: the first by ``page_id``.
+
+    The first page is found over narrow columns; payloads are only filtered by semi-joins, never
+    sorted. Without a ``page_id``, a URL's copies are told apart by a hash of the page.
+    """
     kept = [c for c in ("url", "page_id", "html") if c in pages.columns]
-    order = ["page_id"] if "page_id" in kept else None
-    return one_per_key(pages.select(*kept), "url", order)
+    wanted = listed.filter(F.col(url) != "").select(F.col(url).alias("_listed")).distinct()
+    rows = pages.select(*kept).withColumn("_at", F.col("page_id") if "page_id" in kept else F.xxhash64("html"))
+    rows = rows.filter(F.col("url") != "").join(wanted, F.col("url") == F.col("_listed"), "left_semi")
+    first = rows.groupBy(F.col("url").alias("_first_url")).agg(F.min("_at").alias("_first_at"))
+    same = (F.col("url") == F.col("_first_url")) & (F.col("_at") == F.col("_first_at"))
+    # equal copies of one page may be left
+    copies = Window.partitionBy("url").orderBy("_at")
+    one = rows.join(first, same, "left_semi").withColumn("_copy", F.row_number().over(copies))
+    return one.filter("_copy = 1").select(*kept)
+
+
+def _with_capture_time(pages: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Pages with ``scraped_at``, and the columns that go with every card."""
+    if "scraped_at" not in pages.columns:
+        pages = pages.withColumn("scraped_at", F.lit(None).cast("timestamp_ntz"))
+    return pages, ["page_id", "scraped_at"]
 
 
 def build_catalog(
@@ -45,10 +71,13 @@ def build_catalog(
     """Typed catalog of (page_id, html) listing pages, merged with (url, html) detail pages.
 
     Without detail pages this is the listing-only mode: no join is planned. Encounter order is
-    page, then card.
+    page, then card. ``scraped_at`` is the listing page's own capture time, null if it has none.
     """
-    cards = card_records(listing_cards(listing_pages, ["page_id"]), profile, ["page_id"])
-    cards = first_n(cards, max_products, ORDER)
+    pages, keys = _with_capture_time(listing_pages)
+    cards = card_records(listing_cards(pages, keys), profile, keys)
+    cards = first_n(cards, max_products, ORDER).select(
+        "*", F.lit(True).alias("in_stock"), F.lit("").alias("fulfillment_info")
+    )
     if detail_pages is None:
         return cards
     listing = cards.select(
@@ -58,7 +87,8 @@ def build_catalog(
         *[N.empty_list().alias(c) for c in ("highlights", "feature_bullets")],
         *[N.empty_map().alias(c) for c in ("dimensions", "dimensions_table", "specifications")],
     )
-    details = detail_records(page_nodes(_one_page_per_url(detail_pages), ["url"]), profile)
+    listing = _kept(listing)
+    details = detail_records(page_nodes(_wanted_pages(detail_pages, listing, "url"), ["url"]), profile)
     return merge_adv(listing, details)
 
 
@@ -70,9 +100,8 @@ def build_catalog_http(
     variant: str = "cmp",
 ) -> DataFrame:
     """Catalog in the HTTP record form; ``sim`` has no detail step."""
-    cards = card_records_http(
-        listing_cards(listing_pages, ["page_id"], variant), profile, ["page_id"], variant
-    )
+    pages, keys = _with_capture_time(listing_pages)
+    cards = card_records_http(listing_cards(pages, keys, variant), profile, keys, variant)
     cards = first_n(cards, max_products, ORDER, zero_means_all=False)
     if variant == "sim":
         return cards
@@ -84,7 +113,10 @@ def build_catalog_http(
     )
     if detail_pages is None:
         return listing
-    details = detail_records_http(page_nodes(_one_page_per_url(detail_pages), ["url"]), profile)
+    listing = _kept(listing)
+    details = detail_records_http(
+        page_nodes(_wanted_pages(detail_pages, listing, "product_url"), ["url"]), profile
+    )
     return merge_cmp(listing, details.withColumnRenamed("url", "product_url"))
 
 
@@ -101,7 +133,7 @@ def build_catalog_from_links(
     links = product_links(
         catalog_pages, ["page_id"], profile.base, lambda u: is_product_url(u, profile.host)
     )
-    wanted = first_n(links, max_products, ["page_id", "pos"])
-    fields = product_fields(_one_page_per_url(product_pages)).withColumnRenamed("url", "_page")
+    wanted = _kept(first_n(links, max_products, ["page_id", "pos"]))
+    fields = product_fields(_wanted_pages(product_pages, wanted, "url")).withColumnRenamed("url", "_page")
     joined = splittable_left_join(wanted, fields, "url", "_page")
     return joined.filter(F.col("_page").isNotNull()).drop("_page")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from shelfspark import schema
-from shelfspark.functions import markup as M
 from shelfspark.functions import nested as N
 from shelfspark.functions import text as T
 from shelfspark.operators import analytics as A
 from shelfspark.operators import dedupe as D
 from shelfspark.operators import merge as J
 from shelfspark.operators import quality as Q
+from shelfspark.operators.pages import product_links
 from shelfspark.plans.ingest import prepare
 from shelfspark.plans.registry import query
 from shelfspark.plans.text_queries import _ID_URL, DOCUMENT_SQL
@@ -233,11 +233,10 @@ def keep_first(spark, sf):
     "d2_distinct_links",
     """with u as (select page_id, unnest(l) as href, generate_subscripts(l, 1) - 1 as pos from
         (select page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) as l from pages))
-      select page_id, href, cast(min(pos) as integer) as pos, count(*) as n from u group by page_id, href""",
+      select page_id, 'https://shop.example' || href as url, cast(min(pos) as integer) as pos from u group by page_id, href""",
 )
 def distinct_links(spark, sf):
-    links = load(spark, sf, "pages").select("page_id", F.posexplode(M.link_hrefs(F.col("html"))).alias("pos", "href"))
-    return links.groupBy("page_id", "href").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    return product_links(load(spark, sf, "pages"), ["page_id"], "https://shop.example")
 
 
 _TIES = ["l_orderkey", "l_linenumber", "price_regular", "price_current"]
@@ -271,6 +270,69 @@ def price_history_hot(spark, sf):
     return h.drop("price_regular", "price_change")
 
 
+@query(
+    "d3_price_history_null_ids",
+    """with s as (select *, case when l_orderkey % 3 = 0 then null else product_id end as id from {snapshots})
+      select id, scraped_at, l_orderkey, l_linenumber, price_current, lag(price_current) over w as previous_price
+      from s window w as (partition by id order by scraped_at, l_orderkey, l_linenumber, price_regular, price_current)""",
+)
+def price_history_null_ids(spark, sf):
+    # a third of all rows have no id
+    s = view(spark, sf, "snapshots").select(
+        F.when(F.col("l_orderkey") % 3 != 0, F.col("product_id")).alias("id"),
+        "scraped_at", "l_orderkey", "l_linenumber", "price_regular", "price_current",
+    )
+    h = D.price_history(s, "id", "scraped_at", "price_current", _TIES, share=200, least=0)
+    return h.drop("price_regular", "price_change")
+
+
+_ORDERS_SQL = """
+  with o as (select doc_id, 'k' || cast(doc_id % 40 as varchar) as id, case when doc_id % 40 < 15 then null when doc_id % 3 = 0 then null
+      else doc_id // 120 end as ord, lang as document from documents)"""
+
+
+def _open_orders(spark, sf):
+    """Keys whose order values tie, are partly missing, or are all missing."""
+    d = load(spark, sf, "documents")
+    o = F.when((F.col("doc_id") % 40 < 15) | (F.col("doc_id") % 3 == 0), None).otherwise(F.floor(F.col("doc_id") / 120))
+    return d.select("doc_id", F.concat(F.lit("k"), (F.col("doc_id") % 40).cast("string")).alias("id"), o.alias("ord"), F.col("lang").alias("document"))
+
+
+@query(
+    "p6_null_order",
+    _ORDERS_SQL + """, f as (select id, min(ord) as first from o group by id)
+      select id, cast(count(*) as bigint) as n, cast(1 as bigint) as accepted, first from o join f using (id) group by id, first""",
+)
+def null_order(spark, sf):
+    flagged = D.with_reject_reason(_open_orders(spark, sf), "id", "ord", "document")
+    return flagged.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((F.col("reason").isNull()) | (F.col("reason") == D.EMPTY)).alias("accepted"),
+        F.min(F.when(F.col("reason").isNull(), F.col("ord"))).alias("first"),
+    )
+
+
+@query("p6_tied_order", """select reason, n from (select null as reason, count(distinct doc_id % 40) as n from documents
+      union all select 'duplicate product_id', 2 * count(*) - count(distinct doc_id % 40) from documents) where n > 0""")
+def tied_order(spark, sf):
+    # every row comes twice, and all rows of an id tie
+    rows = _open_orders(spark, sf).withColumn("ord", F.lit(1))
+    flagged = D.with_reject_reason(rows.unionByName(rows), "id", "ord", "document")
+    return flagged.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d1_null_order", _ORDERS_SQL + " select id, min(ord) as ord, 1 as n_rows from o group by id")
+def first_null_order(spark, sf):
+    kept = D.keep_first(_open_orders(spark, sf), "id", ["ord"])
+    return kept.groupBy("id").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).cast("int").alias("n_rows"))
+
+
+@query("d4_null_order", _ORDERS_SQL + " select id, max(ord) as ord, 1 as n_rows from o group by id")
+def latest_null_order(spark, sf):
+    kept = D.keep_latest(_open_orders(spark, sf), "id", ["ord"])
+    return kept.groupBy("id").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).cast("int").alias("n_rows"))
+
+
 @query(
     "d4_latest_record",
     """select product_id, scraped_at, price_current, l_orderkey, l_linenumber from (
@@ -309,16 +371,22 @@ def before_marker_array(spark, sf):
 @query(
     "l1_first_products",
     """select n, product_id, ord from (select * from {catalog}) c, (select unnest(['none', 'ten', 'zero adv', 'all']) as n) m
-      where n in ('zero adv', 'all') or (n = 'ten' and ord in (select ord from {catalog} order by ord limit 10))""",
+      where n in ('zero adv', 'all') or (n = 'ten' and ord in (select ord from {catalog} order by ord limit 10))
+      union all select 'most', cast(l_orderkey as varchar), l_linenumber from (
+        select l_orderkey, l_linenumber from lineitem order by l_orderkey, l_linenumber limit (select count(*) * 6 // 10 from lineitem))""",
 )
 def first_products(spark, sf):
     c = view(spark, sf, "catalog").select("product_id", "ord")
+    lines = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
 
     def labelled(name, n, zero_means_all=True):
         return D.first_n(c, n, ["ord"], zero_means_all).select(F.lit(name).alias("n"), "product_id", "ord")
 
     return D.union_all(
-        labelled("ten", 10), labelled("zero adv", 0), labelled("none", 0, False), labelled("all", None)
+        labelled("ten", 10), labelled("zero adv", 0), labelled("none", 0, False), labelled("all", None),
+        D.first_n(lines, lines.count() * 6 // 10, ["l_orderkey", "l_linenumber"]).select(
+            F.lit("most").alias("n"), F.col("l_orderkey").cast("string").alias("product_id"), F.col("l_linenumber").cast("bigint").alias("ord")
+        ),
     )
 
 
@@ -331,12 +399,15 @@ def first_pages(spark, sf):
 @query(
     "l3_encounter_order",
     """with u as (select page_id, unnest(l) as href, generate_subscripts(l, 1) - 1 as pos from
-        (select page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) as l from pages))
-      select page_id, cast(pos as integer) as pos, href, row_number() over (partition by page_id order by pos) - 1 = pos as in_order from u""",
+        (select page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) as l from pages)),
+      f as (select page_id, href, min(pos) as pos from u group by page_id, href)
+      select page_id, 'https://shop.example' || href as url, row_number() over (partition by page_id order by pos) as place from f""",
 )
 def encounter_order(spark, sf):
-    links = load(spark, sf, "pages").select("page_id", F.posexplode(M.link_hrefs(F.col("html"))).alias("pos", "href"))
-    return links.select("page_id", "pos", "href", (F.col("pos") >= 0).alias("in_order"))
+    # the places that the kept positions give are the order in which links were first met
+    links = product_links(load(spark, sf, "pages"), ["page_id"], "https://shop.example")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return links.select("page_id", "url", place.alias("place"))
 
 
 # -- unions -----------------------------------------------------------------------------------

@@ -16,8 +16,7 @@ from shelfspark.operators.embed import (
     image_vectors,
     text_vectors,
 )
-from shelfspark.operators.skew import spread_if_small
-from shelfspark.session import configure, scratch
+from shelfspark.session import configure, shared_dir
 from shelfspark.sources.readers import read_products
 from shelfspark.sources.writers import add_to_collection
 
@@ -30,14 +29,14 @@ _TEXT_COLUMNS = ("title", "brand", "description", "material_text", "highlights",
 def prepare(products: DataFrame, order: str | list[str]) -> DataFrame:
     """(order, id, document, metadata, first_image_url, reason) of every product row.
 
-    ``order`` is the encounter order, without ties within an id. Rows with a ``reason`` are
-    rejects. ``products`` is read twice, once for ids and order alone: pass a stored table, not
+    ``order`` is the encounter order; ties and missing values are allowed. Rows with a ``reason``
+    are rejects. ``products`` is read twice, once for ids and order alone: pass a stored table, not
     a plan that reads pages.
     """
     have = set(products.columns)
     parts = [F.col(c) if c in have else F.lit(None).cast("string") for c in _TEXT_COLUMNS]
     images = F.col("images") if "images" in have else F.lit(None).cast("string")
-    rows = spread_if_small(products).select(
+    rows = products.select(
         *([order] if isinstance(order, str) else order),
         T.safe_str(F.col("product_id")).alias("id"),
         T.document_text(*parts).alias("document"),
@@ -59,6 +58,8 @@ def embed(
     Rejects are gone before any encoder runs. Without an image encoder, or with
     ``use_images=False``, vectors are text only and no join is planned.
     """
+    if "reason" in prepared.columns:
+        prepared = accepted(prepared)
     rows = prepared.select("id", "document", "metadata", "first_image_url")
     image = (
         image_vectors(rows, "id", "first_image_url", image_encoder, batch_size)
@@ -83,12 +84,13 @@ def run_ingest(
 ) -> tuple[str, DataFrame]:
     """Read, check, embed and add one file's products; returns (collection path, rejects).
 
-    ``order`` must not tie within an id. ``batch_size`` is the encoder's slice. The collection
-    lies under ``collection_root``, by default the session's shared folder. An input without a
+    ``order`` may tie or be missing: one row per id is accepted, all others are rejects.
+    ``batch_size`` is the encoder's slice. The collection lies under ``collection_root``, by default
+    ``collections`` in the session's shared folder, where a later run finds it by its name. An input without a
     valid record adds nothing.
     """
     configure(spark)
-    root = collection_root or scratch(spark, "collections")
+    root = collection_root or f"{shared_dir(spark)}/collections"
     flagged = prepare(read_products(spark, input_path), order)
     path = f"{root}/{collection}"
     rows = embed(accepted(flagged), text_encoder, image_encoder, use_images, batch_size)

@@ -108,10 +108,24 @@ def ingest_job(spark, sf):
     path = scratch(spark, "input") + ".jsonl"
     r = view(spark, sf, "raw_products")
     writers.write_jsonl(r.withColumn("scraped_at", F.format_string("%012d", "ord")).drop("ord"), path)
-    collection, _ = run_ingest(spark, path, collection="shelf", use_images=False)
+    collection, _ = run_ingest(
+        spark, path, collection="shelf", collection_root=scratch(spark, "roots"), use_images=False
+    )
     return spark.read.parquet(collection).select("id", "document")
 
 
+@query("s7_ingest_twice_by_name", f"select id, count(*) as n from ({FLAGGED_SQL}) where reason is null group by id")
+def ingest_twice(spark, sf):
+    """Two runs of one input into a collection that is found again by its name."""
+    path = scratch(spark, "input") + ".jsonl"
+    r = view(spark, sf, "raw_products")
+    writers.write_jsonl(r.withColumn("scraped_at", F.format_string("%012d", "ord")).drop("ord"), path)
+    root = scratch(spark, "roots")
+    for _ in range(2):
+        collection, _ = run_ingest(spark, path, collection="shelf", collection_root=root, use_images=False)
+    return spark.read.parquet(collection).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("k1_json_sink", "select doc_id, text, lang from documents")
 def json_sink(spark, sf):
     path = scratch(spark, "json")
@@ -165,7 +179,28 @@ def snapshot_sink(spark, sf):
     )
 
 
-@query("k5_collection_sink", "select vec_id as id, case when vec_id % 3 = 0 then 'first' else 'second' end as document, embedding[1] as first from embeddings")
+@query(
+    "k4_rerun",
+    """with s as (select product_id, strftime(run_ts, '%Y%m%d_%H%M%S') as run_ts, cast(price_current as varchar) as price from {snapshots})
+      select 'json' as kind, run_ts, product_id, price from s union all select 'csv', run_ts, product_id, price from s""",
+)
+def snapshot_rerun(spark, sf):
+    """All runs, then the last ones again: a run that is written again replaces itself."""
+    s = view(spark, sf, "snapshots").select("product_id", "run_ts", "price_current")
+    path = scratch(spark, "runs")
+    writers.write_snapshot(s, path)
+    writers.write_snapshot(s.filter(F.month("run_ts") > 6), path)
+    types = "product_id string, price_current decimal(12,2), run_ts string"
+    json, csv = spark.read.schema(types).json(f"{path}/json"), spark.read.schema(types).option("header", True).csv(f"{path}/csv")
+    return union_all(
+        *[
+            rows.select(F.lit(kind).alias("kind"), "run_ts", "product_id", F.col("price_current").cast("string").alias("price"))
+            for kind, rows in (("json", json), ("csv", csv))
+        ]
+    )
+
+
+@query("k5_collection_sink", "select vec_id as id, case when vec_id % 3 = 0 then 'first' else 'second' end as document, cast(generate_subscripts(embedding, 1) - 1 as integer) as pos, unnest(embedding) as value from embeddings")
 def collection_sink(spark, sf):
     e = load(spark, sf, "embeddings").withColumnRenamed("vec_id", "id").select("id", "embedding")
     path = scratch(spark, "collection")
@@ -173,7 +208,7 @@ def collection_sink(spark, sf):
     second = e.withColumn("document", F.lit("second"))
     writers.add_to_collection(second, path)
     writers.add_to_collection(second, path)
-    return spark.read.parquet(path).select("id", "document", F.get("embedding", F.lit(0)).alias("first"))
+    return spark.read.parquet(path).select("id", "document", F.posexplode("embedding").alias("pos", "value"))
 
 
 @query("m4_absent_ids", "select vec_id as id, label from embeddings where vec_id % 3 <> 0")

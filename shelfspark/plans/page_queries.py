@@ -455,7 +455,7 @@ def product_fields(spark, sf):
     "h26_page_frontier",
     """with p as (select page_id, url, page_id % 5 + 1 as x, page_id % 5 + 1 + page_id % 3 as y from pages),
       n as (select page_id, url, unnest(generate_series(x + 1, y)) as page from p where x < y)
-      select page_id, cast(page as integer) as page,
+      select page_id, page,
         case when contains(url, '#') and not contains(url, '?') then url || '?Nao=' || cast((page - 1) * 24 as varchar)
           when contains(url, '?') then url || '&Nao=' || cast((page - 1) * 24 as varchar)
           else url || '?Nao=' || cast((page - 1) * 24 as varchar) end as url from n""",

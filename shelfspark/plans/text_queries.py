@@ -109,7 +109,7 @@ def cut_at_word(spark, sf):
 
 @query("x7_hard_cut", "select doc_id, left(text, 500) as cut, cast(length(left(text, 500)) as integer) as n from documents")
 def hard_cut(spark, sf):
-    cut = F.left("text", F.lit(T.MAX_METADATA_CHARS))
+    cut = T.hard_cut(F.col("text"), T.MAX_METADATA_CHARS)
     return load(spark, sf, "documents").select("doc_id", cut.alias("cut"), F.length(cut).alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.functions.vectors import fuse, l2_normalize, norm
+from shelfspark.functions.vectors import l2_normalize, norm
 from shelfspark.operators import embed as E
 from shelfspark.operators.dedupe import accepted
 from shelfspark.operators.merge import with_image_vectors
@@ -23,7 +23,7 @@ def _norm_sql(v: str) -> str:
     "v1_l2_normalize",
     f"""with s as (select vec_id, list_transform(embedding, lambda x: case when vec_id % 10 = 0 then cast(0 as float) else x * 3 end) as v from embeddings),
       n as (select vec_id, v, nullif({_norm_sql('v')}, 0) as n from s)
-      select vec_id, cast(v[1] as double) / n as first, cast(v[64] as double) / n as last, n is null as no_direction from n""",
+      select vec_id, cast(generate_subscripts(v, 1) - 1 as integer) as pos, unnest(list_transform(v, lambda x: cast(x as double) / n)) as value, n is null as no_direction from n""",
 )
 def v1(spark, sf):
     e = load(spark, sf, "embeddings")
@@ -32,9 +32,9 @@ def v1(spark, sf):
     )
     s = e.select("vec_id", scaled.alias("v"))
     u = l2_normalize(F.col("v"))
-    return s.select("vec_id", u.alias("u"), (norm(F.col("v")) == 0).alias("no_direction")).select(
-        "vec_id", F.get("u", F.lit(0)).alias("first"), F.get("u", F.lit(63)).alias("last"), "no_direction"
-    )
+    # a vector without a direction has no unit vector: 64 missing elements
+    unit = F.coalesce(u, F.array_repeat(F.lit(None).cast("double"), 64))
+    return s.select("vec_id", F.posexplode(unit).alias("pos", "value"), (norm(F.col("v")) == 0).alias("no_direction"))
 
 
 # words of the cut text by hashed bucket: the encoder's own definition as SQL
@@ -82,11 +82,17 @@ def _pairs(spark, sf):
     return text, image
 
 
-@query("m3_image_vectors", f"select id, b is not null as has_image, b[1] as first from {_PAIRS_SQL}")
+@query(
+    "m3_image_vectors",
+    f"""select id, b is not null as has_image, cast(p as integer) as pos, b[p + 1] as value
+      from {_PAIRS_SQL}, (select unnest(range(64)) as p) where b is not null or p = 0""",
+)
 def m3(spark, sf):
     joined = with_image_vectors(*_pairs(spark, sf))
     return joined.select(
-        "id", F.col("image_vector").isNotNull().alias("has_image"), F.get("image_vector", F.lit(0)).alias("first")
+        "id",
+        F.col("image_vector").isNotNull().alias("has_image"),
+        F.posexplode(F.coalesce("image_vector", F.array(F.lit(None).cast("float")))).alias("pos", "value"),
     )
 
 
@@ -96,19 +102,18 @@ def m3(spark, sf):
       m as (select id, b is null as text_only, case when b is null then list_transform(a, lambda x: cast(x as double))
         else list_transform(list_zip(a, b), lambda z: (cast(z[1] as double) + cast(z[2] as double)) / 2) end as v from p),
       n as (select *, case when text_only then cast(1 as double) else {_norm_sql('v')} end as n from m)
-      select id, text_only, v[1] / n as first, v[64] / n as last from n""",
+      select id, cast(generate_subscripts(v, 1) - 1 as integer) as pos, unnest(list_transform(v, lambda x: cast(x / n as float))) as value from n""",
 )
 def v3(spark, sf):
-    joined = with_image_vectors(*_pairs(spark, sf))
-    f = joined.select("id", F.col("image_vector").isNull().alias("text_only"), fuse(F.col("text_vector"), F.col("image_vector")).alias("f"))
-    return f.select("id", "text_only", F.get("f", F.lit(0)).alias("first"), F.get("f", F.lit(63)).alias("last"))
+    fused = E.fused_vectors(*_pairs(spark, sf), "id")
+    return fused.select("id", F.posexplode("embedding").alias("pos", "value"))
 
 
-@query("v4_text_only", "select vec_id as id, embedding[1] as first, embedding[64] as last from embeddings")
+@query("v4_text_only", "select vec_id as id, cast(generate_subscripts(embedding, 1) - 1 as integer) as pos, unnest(embedding) as value from embeddings")
 def v4(spark, sf):
     text, _ = _pairs(spark, sf)
     f = E.fused_vectors(text, None)
-    return f.select("id", F.get("embedding", F.lit(0)).alias("first"), F.get("embedding", F.lit(63)).alias("last"))
+    return f.select("id", F.posexplode("embedding").alias("pos", "value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

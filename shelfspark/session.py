@@ -57,6 +57,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_FOLDER
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch`` named, once nothing reads it any more."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created or deleted here."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"

@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from shelfspark.functions.nested import run_label
-from shelfspark.session import scratch
+from shelfspark.session import drop_scratch, scratch
 from shelfspark.sources.codec import to_file_rows
 
 
@@ -80,22 +80,32 @@ def write_snapshot(df: DataFrame, root: str, run: str = "run_ts", latest: bool =
     columns = StructType([f for f in labelled.schema if f.name != run] + [StructField(run, StringType())])
     rows = spark.read.schema(columns).parquet(staged)
     by_run = rows.hint("rebalance", run)
-    by_run.write.mode("append").partitionBy(run).option("ignoreNullFields", False).json(f"{root}/json")
-    _csv(by_run.write.mode("append").partitionBy(run)).csv(f"{root}/csv")
+    # a run that is written again replaces itself; other runs stay
+    def replacing() -> DataFrameWriter:
+        return by_run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run)
+
+    replacing().option("ignoreNullFields", False).json(f"{root}/json")
+    _csv(replacing()).csv(f"{root}/csv")
     if latest:
         last = rows.filter(F.col(run) == rows.agg(F.max(run)).scalar())
         write_json(last, f"{root}/latest/json", mode="overwrite")
         _csv(last.write.mode("overwrite")).csv(f"{root}/latest/csv")
+    drop_scratch(spark, staged)
+
+
+BUCKET = "_bucket"
+BUCKETS = 16
+_BUCKET_FIELD = StructField(BUCKET, IntegerType())
 
 
 def read_collection(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of a collection; one that does not exist yet has none."""
+    """Rows of a collection with their ``_bucket``; one that does not exist yet has none."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(StructType([*schema, _BUCKET_FIELD])).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], StructType([*schema, _BUCKET_FIELD]))
 
 
 def absent_from(df: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
@@ -107,11 +117,16 @@ def add_to_collection(df: DataFrame, path: str, key: str = "id") -> None:
     """Insert-if-absent by ``key``; adding the same rows again changes nothing.
 
     A key that comes twice in ``df`` is stored once, whichever copy it is, so callers choose
-    first (``with_reject_reason``).
+    first (``with_reject_reason``). The collection is laid out by a hash bucket of the key, and only
+    the buckets that ``df`` falls into are read. Two jobs that add to one collection at the same
+    time may both insert a key: run one at a time.
     """
-    existing = read_collection(df.sparkSession, path, df.schema)
-    fresh = absent_from(df, existing, key).dropDuplicates([key])
-    fresh.write.mode("append").parquet(path)
+    placed = df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int"))
+    # at most BUCKETS numbers
+    touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]
+    existing = read_collection(df.sparkSession, path, df.schema).filter(F.col(BUCKET).isin(touched))
+    fresh = absent_from(placed, existing, key).dropDuplicates([key])
+    fresh.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
 def send_in_slices(

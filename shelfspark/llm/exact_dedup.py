@@ -131,15 +131,17 @@ def survivors(
     docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Digest = sha256, salts: int = SALTS
 ) -> DataFrame:
     """One whole row per different text, with the columns of ``docs``."""
+    # digest and id as one key: the join and the choice of one row then need the same shuffle
+    def one_key(digest_: Column, id_: Column) -> Column:
+        return F.concat_ws(":", digest_, F.coalesce(id_.cast("string"), F.lit("none")))
+
     found = _checked(winners(docs, key, text, digest, salts)).select(
-        F.col("digest").alias("__keep_digest"), F.col("keep_id").alias("__keep_id")
-    )
-    rows = docs.withColumn("__row_id", F.col(f"`{key}`").cast("bigint")).withColumn(
-        "__row_digest", digest(normalised(text_of(text)))
+        one_key(F.col("digest"), F.col("keep_id")).alias("__keep")
     )
-    same = (F.col("__row_digest") == F.col("__keep_digest")) & F.col("__row_id").eqNullSafe(F.col("__keep_id"))
-    first = Window.partitionBy("__row_digest", "__row_id").orderBy("__keep_id")
-    kept = rows.join(found, same).withColumn("__place", F.row_number().over(first))
+    row = one_key(digest(normalised(text_of(text))), F.col(f"`{key}`").cast("bigint"))
+    rows = docs.withColumn("__row", row)
+    first = Window.partitionBy("__row").orderBy("__keep")
+    kept = rows.join(found, F.col("__row") == F.col("__keep")).withColumn("__place", F.row_number().over(first))
     return kept.filter(F.col("__place") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

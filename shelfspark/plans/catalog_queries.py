@@ -69,11 +69,6 @@ def reject_reasons(spark, sf):
     return prepare(view(spark, sf, "raw_products"), "ord").select("ord", "id", "reason")
 
 
-@query("p7_listing_only", "select product_id, title, url, price_current from {catalog}")
-def listing_only(spark, sf):
-    return view(spark, sf, "catalog").select("product_id", "title", "url", "price_current")
-
-
 @query(
     "n1_canonical_columns",
     """select product_id, title, case when ord % 4 = 0 then null else url end as url, price_current,

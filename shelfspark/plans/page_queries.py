@@ -305,18 +305,27 @@ def rating_detail(spark, sf):
 
 @query(
     "h18_text_flags",
-    r"""select doc_id, contains(lower(text), 'clearance') as is_clearance, contains(lower(text), 'sale') as is_sale,
-      regexp_matches(text, '(?i)the\s+of') as is_new, not regexp_matches(text, 'Error|Unavailable') as in_stock from documents""",
+    f"""select l.p_partkey, l.is_sale, l.is_clearance, l.is_new, l.best_seller, h.in_stock, h.is_new as labelled_new
+      from ({_CARD_SQL}) l join ({_http_sql("cmp")}) h using (p_partkey)""",
 )
 def text_flags(spark, sf):
-    t = F.col("text")
-    return load(spark, sf, "documents").select(
-        "doc_id",
-        F.contains(F.lower(t), F.lit("clearance")).alias("is_clearance"),
-        F.contains(F.lower(t), F.lit("sale")).alias("is_sale"),
-        M.keyword_flag(t, r"the\s+of").alias("is_new"),
-        (~t.rlike("Error|Unavailable")).alias("in_stock"),
-    )
+    """The flags that both record forms take from a card's text and labels."""
+    cards = _cards(spark, sf)
+    listed = H.card_records(cards, SHOP, ["p_partkey"]).select("p_partkey", "is_sale", "is_clearance", "is_new", "best_seller")
+    http = H.card_records_http(cards, SHOP, ["p_partkey"]).select("p_partkey", "in_stock", F.col("is_new").alias("labelled_new"))
+    return listed.join(http, "p_partkey")
+
+
+@query(
+    "p7_listing_only",
+    f"""with c as (select *, {_CURRENT} as cur, {_REGULAR} as reg from {{cards}} where p_partkey % 10 not in (4, 5)),
+      n as (select c.*, g.n from c, generate_series(0, 1) as g(n) where g.n < (p_partkey % 5 <> 0)::int + (p_partkey % 5 > 2)::int)
+      select p_partkey as page_id, cast(n as integer) as block, cast(p_partkey as varchar) as product_id, {_TITLE} as title,
+        '{BASE}' || href as url, {_BRAND} as brand, cur as price_current, reg as price_regular, true as in_stock from n""",
+)
+def listing_only(spark, sf):
+    built = build_catalog(view(spark, sf, "listing_pages").select("page_id", "html"), None, SHOP)
+    return built.select("page_id", "block", "product_id", "title", "url", "brand", "price_current", "price_regular", "in_stock")
 
 
 _DETAIL_SQL = f"""

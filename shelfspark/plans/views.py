@@ -90,7 +90,8 @@ _CARD = _pieces(
     """case when p_partkey % 11 = 0 then '<i aria-label="Top Bestseller"></i>' else '' end""",
     """case when p_partkey % 13 = 0 then '<i>our bestseller</i>' else '' end""",
     """case when p_partkey % 12 = 0 then '<span><b>Out of Stock</b></span>' else '' end""",
-    """case when p_partkey % 14 = 0 then '<span aria-label="New arrival"></span>' else '' end""",
+    """case when p_partkey % 28 = 0 then '<span aria-label="NEW arrival"></span>'
+      when p_partkey % 14 = 0 then '<span aria-label="New arrival"></span>' else '' end""",
     "'</div>'",
 )
 

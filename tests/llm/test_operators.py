@@ -316,6 +316,7 @@ def components_by_hand(rows, percent=80):
 @pytest.mark.parametrize("hot, node", [(64, 512), (2, 3)])
 def test_jaccard_join(spark, texts, monkeypatch, hot, node):
     monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", hot)
     monkeypatch.setattr(jaccard_join, "NODE_ROWS", node)
     rows = [(i + 50, t) for i, t in texts] + [r for r in EDGES if r[0] is not None]
     found = jaccard_join.similar_documents(docs_of(spark, rows + [(None, "no id")]))

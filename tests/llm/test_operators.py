@@ -555,3 +555,18 @@ def test_many_exceptions_are_joined(spark, monkeypatch):
     few = {(r["doc_id"], r["text"]) for r in surrogates.pseudonymise(docs_of(spark, rows)).collect()}
     many = {(r["doc_id"], r["text"]) for r in surrogates.pseudonymise(docs_of(spark, rows), broadcast_rows=0).collect()}
     assert few == many and (0, "nr 301-11-1111 x") in few
+
+
+def test_dense_blocks_hand_over_a_forest(spark, monkeypatch):
+    """Near copies of one text: few links leave their blocks, and the components stay exact."""
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        parts = words[:]
+        parts[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(parts)))
+    monkeypatch.setattr(jaccard_join, "HOT", 10**6)
+    monkeypatch.setattr(jaccard_join, "DENSE", 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == components_by_hand(rows)

@@ -1,11 +1,12 @@
 """License scans by a positional rare-token index.
 
 Licence templates are short word sequences. Their index maps a word to (template, position). Of the
-licence words that a file holds, the ones with the highest inverse document frequency over all files
-are looked up; a posting puts the template's first word at (word's place - position), and places
-that enough postings agree on are alignments. An alignment counts when the template's mandatory
-phrase stands at its own relative place. Beside these, base phrases are found wherever their words
-stand in line.
+words of a template that a file holds, the ones with the highest inverse document frequency over all
+files are looked up, template by template, so several notices in one file do not crowd each other
+out; a posting puts the template's first word at (word's place - position), and places that enough
+postings agree on are alignments. An alignment counts when the template's mandatory phrase stands at
+its own relative place; templates whose phrase has a word that the file lacks are not looked up.
+Beside these, base phrases are found wherever their words stand in line.
 
 Two passes over the texts: one counts in how many files each licence word occurs (a few hundred
 words, added up per task and then over tasks), one scans. No text is shuffled.
@@ -59,7 +60,7 @@ TEMPLATES = (
 )
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-# A file looks up its rarest licence words, at least this many different ones if it has them.
+# A file looks up the rarest words it holds of each template, this many different ones if it has them.
 RARE_WORDS = 8
 # Share of a template's looked-up words that must agree on one place.
 AGREE = 0.6
@@ -76,7 +77,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    """Word to (template, position), for the few templates."""
+    """Word to position in each of the few templates."""
 
     def __init__(self, templates=TEMPLATES, base=BASE_PHRASES) -> None:
         self.labels = [label for label, _, _ in templates]
@@ -86,13 +87,16 @@ class Index:
             key = phrase.encode().split()
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             self.keys.append((at, key))
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, words in enumerate(self.words):
+        # word to its positions, for each template
+        self.postings: list[dict[bytes, list[int]]] = []
+        for words in self.words:
+            at_word: dict[bytes, list[int]] = {}
             for i, word in enumerate(words):
-                self.postings.setdefault(word, []).append((t, i))
+                at_word.setdefault(word, []).append(i)
+            self.postings.append(at_word)
         self.base = [(phrase.encode().split(), label) for phrase, label in base]
         # the last word of every phrase, rarer than its first ones in running text
-        self.seen = set(self.postings) | {w for phrase, _ in self.base for w in phrase}
+        self.seen = {w for words in self.words for w in words} | {w for phrase, _ in self.base for w in phrase}
 
 
 def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,22 +139,21 @@ def _scan_one(words: list[bytes], index: Index, idf: dict[bytes, float], rare: i
         for start in places.get(phrase[0], ()):
             if words[start : start + len(phrase)] == phrase:
                 base.append((start, label))
-    ranked = sorted((w for w in places if w in index.postings), key=lambda w: (-idf.get(w, 0.0), w))[:rare]
-    looked_up = set(ranked)
-    votes: Counter = Counter()
-    for word in ranked:
-        for template, position in index.postings[word]:
-            for place in places[word]:
-                if place >= position:
-                    votes[template, place - position] += 1
-    for (template, start), n in votes.items():
-        want = sum(w in looked_up for w in index.words[template])
+    for template, postings in enumerate(index.postings):
         at, phrase = index.keys[template]
-        if n >= agree * want and words[start + at : start + at + len(phrase)] == phrase:
-            whole = index.words[template]
-            same = sum(a == b for a, b in zip(whole, words[start : start + len(whole)])) / len(whole)
-            label = index.labels[template]
-            scores[label] = max(scores.get(label, 0.0), same)
+        if not all(w in places for w in phrase):
+            continue
+        looked_up = sorted((w for w in postings if w in places), key=lambda w: (-idf.get(w, 0.0), w))[:rare]
+        votes: Counter = Counter()
+        for word in looked_up:
+            for position in postings[word]:
+                votes.update(place - position for place in places[word] if place >= position)
+        want = sum(len(postings[w]) for w in looked_up)
+        whole, label = index.words[template], index.labels[template]
+        for start, n in votes.items():
+            if n >= agree * want and words[start + at : start + at + len(phrase)] == phrase:
+                same = sum(a == b for a, b in zip(whole, words[start : start + len(whole)])) / len(whole)
+                scores[label] = max(scores.get(label, 0.0), same)
     return base, scores
 
 

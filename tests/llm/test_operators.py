@@ -218,6 +218,21 @@ def test_license_scan(spark):
     assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def test_license_scan_of_several_notices(spark):
+    """Every notice of a file is found, however rare the words of the others are."""
+    notice = {}
+    for label, words, _ in license_scan.TEMPLATES:
+        notice[label] = words  # the longer of the two of mit
+    mixes = [("bsd", "cc-by-4.0"), ("mit", "cc-by-4.0"), ("gpl-2.0", "cc-by-4.0"), ("unlicense", "bsd", "apache-2.0"),
+             ("isc", "mpl-2.0", "lgpl"), tuple(sorted(notice))]
+    rows = [(i, " and so on ".join(notice[x] for x in mix)) for i, mix in enumerate(mixes)]
+    # common words of short notices are rare words of no file here
+    rows += [(100 + i, "licensed under cc by 4 0 to the version") for i in range(40)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    for i, mix in enumerate(mixes):
+        assert set(mix) <= set(got[i])
+
+
 # 4 URLs
 
 

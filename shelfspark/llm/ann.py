@@ -3,16 +3,18 @@
 ``tables`` hash tables cut space by ``k`` random Gaussian projections into cells of width ``w``; k
 grows with the logarithm of the rows, so a cell holds about ``rows_per_cell``. In every table a
 query visits its own cell and perturbed ones in the order of their estimated success: the chance
-that a neighbour at the typical distance falls there, from the normal distribution of the projected
-difference. It goes on until the visited cells make up ``success`` of that chance, so how far it
-probes follows from the data's distances, not from a count. Candidates of all tables are merged and
-ranked by exact distance on the original vectors.
+that a neighbour at a given distance falls there, from the normal distribution of the projected
+difference. The FIRST_CELLS most likely cells of each table, at the data's typical distance, come
+first. With the distance of the n + 1st point found there, a bound of the query's own n-th
+neighbour, the query goes on until its cells make up ``success`` of the chance, so how far it probes
+follows from its own distances, not from a count or from other queries. Where the first cells hold
+too few points, or more cells than there are would have to be tried, the query visits all cells of
+one table. Candidates of all tables are merged and ranked by exact distance on the original vectors.
 
 Equal vectors are one point: it carries its ``n + 1`` smallest ids, all that any answer can need, and
 equal queries are searched once. A crowded cell is split into parts of about ``part_rows`` points,
 each of which meets the cell's queries. Distances are computed cell by cell, and only a cell's best
-leave it. The FIRST_CELLS most likely cells of each table are searched first; the distance of the
-n + 1st point found there bounds what the other cells still need to hand over.
+leave it: the distance found in the first cells bounds what the other cells need to hand over.
 
 The typical distance is measured on a sample of at most ``sample_queries`` queries and
 ``sample_points`` points; every row is indexed.
@@ -68,8 +70,10 @@ def _points(rows: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def _cells_by_success(at: np.ndarray, r: float, width: float, success: float) -> list[tuple[int, ...]]:
-    """Cells in order of the chance that a neighbour at distance r lies there, until ``success``.
+def _cells_by_success(
+    at: np.ndarray, r: float, width: float, success: float, most: float = math.inf
+) -> list[tuple[int, ...]]:
+    """Cells in order of the chance that a neighbour at distance r lies there, until ``success`` or ``most`` cells.
 
     ``at`` holds the query's projections in cell widths. Each cell is a choice of one offset per
     projection; a heap visits the choices by falling product of their chances.
@@ -86,7 +90,7 @@ def _cells_by_success(at: np.ndarray, r: float, width: float, success: float) ->
     start = (0,) * len(at)
     chance = math.prod(c[0][0] for c in choices)
     heap, seen, total, out = [(-chance, start)], {start}, 0.0, []
-    while heap and total < success:
+    while heap and total < success and len(out) < most:
         p, pick = heapq.heappop(heap)
         total -= p
         out.append(tuple(choices[i][j][1] for i, j in enumerate(pick)))
@@ -170,24 +174,44 @@ def search(
                 own = np.floor(cells(v, t)).astype(np.int64)
                 yield pd.DataFrame({"cell": [f"{t}:{':'.join(map(str, c))}" for c in own.tolist()], "ids": part["ids"], "v": part["v"]})
 
+    def first_cells(at: np.ndarray) -> list[tuple[int, ...]]:
+        # a distance far below a cell's width would order no cell but the query's own
+        return _cells_by_success(at, max(r, width / 4), width, 1.0, FIRST_CELLS)
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             v = np.stack(part["v"].to_numpy()) if len(part) else np.zeros((0, dim))
             for t in range(tables):
                 at = cells(v, t)
                 for i, q in enumerate(part["q"]):
-                    visit = _cells_by_success(at[i], r, width, success)
-                    names = [f"{t}:{':'.join(map(str, c))}" for c in visit]
-                    yield pd.DataFrame({"cell": names, "q": q, "place": range(len(visit))})
+                    names = [f"{t}:{':'.join(map(str, c))}" for c in first_cells(at[i])]
+                    yield pd.DataFrame({"cell": names, "q": q})
+
+    def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The other cells by the query's own distance; no name stands for all cells of the first table."""
+        for part in batches:
+            v = np.stack(part["v"].to_numpy()) if len(part) else np.zeros((0, dim))
+            at = [cells(v, t) for t in range(tables)]
+            for i, (q, bound) in enumerate(zip(part["q"], part["bound"])):
+                names = []
+                for t in range(tables):
+                    # equal points have no distance to go
+                    visit = _cells_by_success(at[t][i], bound, width, success, in_table[t] + 1) if 0 < bound < math.inf else []
+                    if bound == math.inf or len(visit) > in_table[t]:
+                        names = [None]
+                        break
+                    done = set(first_cells(at[t][i]))
+                    names += [f"{t}:{':'.join(map(str, c))}" for c in visit if c not in done]
+                yield pd.DataFrame({"cell": pd.Series(names, dtype=object), "q": q, "bound": bound})
 
     indexed = points.mapInPandas(index, "cell string, ids array<long>, v array<double>")
     sizes = indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / part_rows).cast("int")
     in_cell = stored(sizes.select("cell", parts.alias("parts")), "ann-cells")
     placed = indexed.join(in_cell, "cell").withColumn("part", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("parts")))
-    probes = search_for.mapInPandas(probe, "cell string, q long, place int").join(in_cell, "cell")
-    every_part = F.sequence(F.lit(0).cast("bigint"), (F.col("parts") - 1).cast("bigint"))
-    probes = stored(probes.withColumn("part", F.explode(every_part)), "ann-probes")
+    tally = in_cell.groupBy(F.split_part("cell", F.lit(":"), F.lit(1)).cast("int").alias("t")).count()
+    in_table = {row["t"]: row["count"] for row in tally.collect()}
+    every_part = F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("parts") - 1).cast("bigint")))
 
     def rank(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -215,12 +239,20 @@ def search(
             .applyInPandas(rank, "q long, vec_id long, score double")
         )
 
-    likely = probes.filter(F.col("place") < FIRST_CELLS).withColumn("bound", F.lit(math.inf))
+    likely = search_for.mapInPandas(probe, "cell string, q long").withColumn("bound", F.lit(math.inf))
+    likely = likely.join(in_cell, "cell").withColumn("part", every_part)
     first = stored(nearest_in(likely).groupBy("q", "vec_id").agg(F.min("score").alias("score")), "ann-first")
     by_distance = Window.partitionBy("q").orderBy("score", "vec_id")
     bounds = first.withColumn("place", F.row_number().over(by_distance)).filter(F.col("place") == n + 1)
-    others = probes.filter(F.col("place") >= FIRST_CELLS).join(bounds.select("q", F.col("score").alias("bound")), "q", "left")
-    found = first.unionByName(nearest_in(others.fillna({"bound": math.inf})))
+    own = search_for.join(bounds.select("q", F.col("score").alias("bound")), "q", "left").fillna({"bound": math.inf})
+    further = stored(own.mapInPandas(go_on, "cell string, q long, bound double"), "ann-probes")
+    whole_table = in_cell.filter(F.col("cell").startswith("0:"))
+    others = (
+        further.filter("cell is not null").join(in_cell, "cell").select("cell", "q", "bound", "parts")
+        .unionByName(further.filter("cell is null").drop("cell").crossJoin(whole_table).select("cell", "q", "bound", "parts"))
+        .withColumn("part", every_part)
+    )
+    found = first.unionByName(nearest_in(others))
     # the tables' candidates together, each once
     near = Window.partitionBy("q").orderBy("score", "vec_id")
     merged = (

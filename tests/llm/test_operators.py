@@ -127,6 +127,34 @@ def test_search_in_many_cells_and_parts(spark):
     assert hits >= 0.9 * 300
 
 
+def test_search_among_near_copies(spark):
+    """Queries in groups of near copies do not shorten the search of the others."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 24))
+    copies = rng.permutation(6000)[:3600]
+    x[copies] = np.repeat(x[copies[:72]], 50, axis=0) + 0.003 * rng.normal(size=(3600, 24))
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(0, 6000, 60))
+    found = ann.search(rows, rows.filter("vec_id % 60 = 0"), rows_per_cell=128).toPandas()
+    near = found.groupby("query_id")["vec_id"].agg(set)
+    want = near_by_hand([(int(i), v.tolist()) for i, v in enumerate(x)], asked)
+    among = set(copies.tolist())
+    for group in ([q for q in asked if q in among], [q for q in asked if q not in among]):
+        hits = sum(len({i for _, i in want[q]} & near[q]) for q in group)
+        assert hits >= 0.9 * 10 * len(group)
+
+
+def test_search_far_from_all_others(spark):
+    """A query whose first cells hold too few points, and one at a great distance, get their n nearest."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 12))
+    x[:3] *= [[12.0], [30.0], [60.0]]
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.search(rows, rows.filter("vec_id < 3"), rows_per_cell=16).toPandas()
+    want = near_by_hand([(int(i), v.tolist()) for i, v in enumerate(x)], range(3))
+    assert {(q, i) for q, near in want.items() for _, i in near} == set(zip(found["query_id"], found["vec_id"]))
+
+
 def test_search_ties_copies_and_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [

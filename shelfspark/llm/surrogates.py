@@ -4,11 +4,13 @@ Entities (mail addresses, phone, card and social security numbers, IPv4 addresse
 titled names) are found by pattern. An entity's surrogate is a keyed permutation of its own form:
 digits become digits, vowels vowels, consonants consonants of the same script, hex stays hex, octets
 octets, a card keeps its check-sum state, a known first name becomes one of the same gender and script; case
-and separators stay. A permutation sends different entities to different surrogates, and the same
+and separators stay. A name is replaced word by word, so a surname has one surrogate whatever stands before it, and
+further mentions of a text's titled names, without title, are replaced too. Titles and particles (von, de la) stay.
+Names are capitalised words behind titles, initials among them. A permutation sends different entities to different surrogates, and the same
 entity always to the same one, in every document.
 
 Collision check: a surrogate must not be a real entity of the corpus. All distinct entities are
-joined with the surrogates; those that hit a real one are permuted again until none does. Walking a
+joined with the surrogates (of names, the words but for listed first names and initials); those that hit a real one are permuted again until none does. Walking a
 permutation's cycle out of the real ones keeps surrogates distinct. An entity whose whole cycle is
 real gets a typed placeholder with a keyed digest instead.
 
@@ -53,7 +55,26 @@ FIRST_NAMES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True))
-_NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+# Name words: capitalised, or of a script without case; combining marks belong to their letter.
+_SMALL = "".join(chr(c) for c in range(0x2000) if chr(c).isalpha() and chr(c).islower())
+_FIRST = rf"[^\W\d_{_SMALL}]"
+_LETTER = r"[^\W\d_][\u0300-\u036f]*"
+_WORD = rf"(?:[dlDL]['’])?{_FIRST}[\u0300-\u036f]*(?:{_LETTER})*(?:['’-](?![sS]\b)(?:{_LETTER})+)*"
+_PARTICLES = (
+    "von", "vom", "zu", "zum", "zur", "und zu", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "das", "du", "la",
+    "le", "las", "los", "ten", "ter", "te", "af", "av", "al", "el", "bin", "ibn", "ben",
+)
+# capitalised words of sentences that begin behind an initial or a line end
+_OPENERS = "The|This|That|These|Those|They|Then|There|And|But|When|Und|Aber"
+_INITIAL = rf"{_FIRST}\."
+_PARTICLE = rf"(?:{'|'.join(_PARTICLES)})\s+"
+_KNOWN = "|".join(name for names in FIRST_NAMES.values() for name in names)
+_NOT = rf"(?!(?:{_TITLE}|{_OPENERS})\b)"
+_NAME = (
+    rf"(?:{_NOT}(?:{_INITIAL}\s*|{_PARTICLE}|(?:{_KNOWN})\s+|{_WORD}[^\S\r\n]+))*"
+    rf"{_NOT}(?:{_INITIAL}|{_WORD})"
+)
+_TITLES = rf"(?:(?:{_TITLE})(?:\.\s*|\s+))+"
 # In order: where two patterns find the same place, the first one takes it.
 PATTERNS = (
     ("mail", r"(?<![\w.+-])[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)*\.[^\W\d_]{2,}"),
@@ -62,7 +83,7 @@ PATTERNS = (
     ("card", r"(?<!\d)(?:\d{16}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)"),
     ("phone", r"(?<![\w(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("name", rf"(?<=\b)(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"),
+    ("name", rf"\b{_TITLES}{_NAME}"),
 )
 _ANY = re.compile("|".join(f"(?P<{name}>{pattern.replace(chr(92) + '1', '(?P=sep)').replace('([ -])', '(?P<sep>[ -])')})" for name, pattern in PATTERNS))
 _MAYBE = re.compile(rf"[@0-9]|\b(?:{_TITLE})\b")
@@ -97,6 +118,70 @@ def canonical(kind: str, value: str) -> str:
     return value.lower() if kind in ("mail", "token", "name") else value
 
 
+_NAME_WORD = re.compile(_WORD)
+_HEAD = re.compile(_TITLES)
+_KNOWN_FIRST = {name.lower(): kind for kind, names in FIRST_NAMES.items() for name in names}
+
+
+def _name_words(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """(start, end, canonical) of the words of a titled name, without titles and particles."""
+    head = _HEAD.match(text, start, end)
+    return [(m.start(), m.end(), canonical("name", m[0])) for m in _NAME_WORD.finditer(text, head.end(), end)]
+
+
+def mentions(text: str) -> list[tuple[str, list[tuple[int, int, str, str]]]]:
+    """(type, [(start, end, kind, canonical) of its parts]) of every mention of an entity, in order.
+
+    A name's parts are its words. Further mentions of the text's titled names are found by their
+    surnames (words behind the first, or the only one), with the name's other words and initials
+    that stand before them.
+    """
+    found = find(text)
+    spans = {(start, end): _name_words(text, start, end) for start, end, kind in found if kind == "name"}
+    # first words by surname, and known first names that stand before a surname somewhere in the text
+    before: dict[str, set[str]] = {}
+    firsts = set()
+    for words in spans.values():
+        whole = [w for _, _, w in words]
+        long = [w for w in whole if len(w) > 1]
+        if len(whole) > 1 and whole[0] in _KNOWN_FIRST:
+            firsts.add(whole[0])
+        for w in long[1:] if len(whole) > 1 and len(long) > 1 else long:
+            before.setdefault(w, set()).update(x for x in whole if x != w)
+
+    def parts(words: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
+        out = []
+        for i, (a, b, w) in enumerate(words):
+            given = w in _KNOWN_FIRST and i == 0 and (len(words) > 1 or w in firsts)
+            out.append((a, b, "given" if given else "initial" if len(w) == 1 else "name", w))
+        return out
+
+    out = [(kind, parts(spans[start, end]) if kind == "name" else [(start, end, kind, canonical(kind, text[start:end]))]) for start, end, kind in found]
+    if not before:
+        return out
+    at = 0
+    for start, end in [*((s, e) for s, e, _ in found), (len(text), len(text))]:
+        run: list[tuple[int, int, str]] = []
+        for m in _NAME_WORD.finditer(text, at, start):
+            word = (m.start(), m.end(), canonical("name", m[0]))
+            # not inside a longer word, and capitalised in the text
+            if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+                run = []
+                continue
+            gap = text[run[-1][1] : m.start()] if run else None
+            if run and not re.fullmatch(rf"\.?\s+(?:{_PARTICLE})*|\.", gap):
+                run = []
+            run.append(word)
+            if word[2] in before and word[2] not in firsts:
+                first = len(run) - 1
+                while first and (run[first - 1][2] in before[word[2]] or len(run[first - 1][2]) == 1 and text[run[first - 1][1]] == "."):
+                    first -= 1
+                out.append(("name", parts(run[first:])))
+                run = []
+        at = end
+    return sorted(out, key=lambda mention: mention[1][0])
+
+
 def _shifts(key: str, kind: str, turn: int, fixed: list[int], n: int) -> list[int]:
     """n pseudo-random numbers that depend on the key, the turn and the other half."""
     seed = f"{key}|{kind}|{turn}|{','.join(map(str, fixed))}".encode()
@@ -138,28 +223,11 @@ def _luhn(digits: list[int]) -> int:
     return -sum(doubled) % 10
 
 
-def _script(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
-
-
-def _permute_name(key: str, value: str) -> str:
-    """A titled name: the title stays and tells the gender, names are replaced."""
-    title, _, rest = value.partition(" ")
-    gender = next((g for g, titles in TITLES.items() if title.rstrip(".") in [t.lower() for t in titles]), "")
-    words = rest.split(" ")
-    out = []
-    for i, word in enumerate(words):
-        known = [
-            (g, s) for (g, s), names in FIRST_NAMES.items() if s == _script(word) and word in [n.lower() for n in names]
-        ]
-        if i == 0 and len(words) > 1 and known:
-            # the title decides where both say something; a list of one gender and script is permuted
-            kind = next((k for k in known if k[0] == gender), known[0])
-            names = [n.lower() for n in FIRST_NAMES[kind]]
-            out.append(names[permute_digits(key, f"name|{kind}|{len(words)}", [names.index(word)], [len(names)])[0]])
-        else:
-            out.append(_permute_letters(key, f"name|{i}", word))
-    return " ".join([title, *out])
+def _permute_first_name(key: str, word: str) -> str:
+    """A known first name: the list of its gender and script is permuted."""
+    kind = _KNOWN_FIRST[word]
+    names = [n.lower() for n in FIRST_NAMES[kind]]
+    return names[permute_digits(key, f"name|{kind}", [names.index(word)], [len(names)])[0]]
 
 
 def permute(key: str, kind: str, value: str) -> str:
@@ -183,8 +251,8 @@ def permute(key: str, kind: str, value: str) -> str:
     if kind == "mail":
         head, _, top = value.rpartition(".")
         return _permute_letters(key, kind, head) + "." + top
-    if kind == "name":
-        return _permute_name(key, value)
+    if kind == "given":
+        return _permute_first_name(key, value)
     return _permute_letters(key, kind, value)
 
 
@@ -204,17 +272,22 @@ def _cased(surrogate: str, mention: str) -> str:
     return surrogate[:1].upper() + surrogate[1:] if mention[:1].isupper() else surrogate
 
 
+def _checked(text: str) -> list[tuple[str, str]]:
+    """(kind, canonical) of the parts whose surrogates must not be real: all but first names of the lists and initials."""
+    return [(kind, value) for _, parts in mentions(text) for _, _, kind, value in parts if kind not in ("given", "initial")]
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, value, mentions): the distinct entities of all texts."""
+    """(kind, value, mentions): the distinct entities of all texts; of names, the words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, values = [], []
             for cell in batch.column(0):
                 value = cell.as_py()
-                for start, end, kind in find(value):
+                for kind, entity in _checked(value):
                     kinds.append(kind)
-                    values.append(canonical(kind, value[start:end]))
+                    values.append(entity)
             yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string())})
 
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
@@ -262,11 +335,10 @@ def collisions(real: DataFrame, key: str = KEY, most_steps: int = MOST_STEPS) ->
 
 
 def _replace(text: str, key: str, other: dict[tuple[str, str], str], known: dict[tuple[str, str], str]) -> tuple[str, list[str]]:
-    found = find(text)
-    parts, last, kinds = [], 0, []
-    for start, end, kind in found:
-        mention = text[start:end]
-        entity = (kind, canonical(kind, mention))
+    found = mentions(text)
+    parts, last = [], 0
+    for start, end, *entity in (part for _, own in found for part in own):
+        mention, entity = text[start:end], tuple(entity)
         surrogate = other.get(entity) or known.get(entity)
         if surrogate is None:
             if len(known) >= 100_000:
@@ -274,8 +346,7 @@ def _replace(text: str, key: str, other: dict[tuple[str, str], str], known: dict
             surrogate = known[entity] = permute(key, *entity)
         parts += [text[last:start], _cased(surrogate, mention)]
         last = end
-        kinds.append(kind)
-    return ("".join([*parts, text[last:]]) if parts else text), kinds
+    return ("".join([*parts, text[last:]]) if parts else text), [kind for kind, _ in found]
 
 
 def pseudonymise(
@@ -316,19 +387,19 @@ def pseudonymise(
 def _with_exceptions(rows: DataFrame, moved: DataFrame) -> DataFrame:
     """Rows with the exceptions among their own entities: found by text digest, joined by entity."""
 
-    def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"of": [], "kind": [], "value": []}
             for digest, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
                 value = cell.as_py()
-                for kind, entity in sorted({(k, canonical(k, value[a:b])) for a, b, k in find(value)}):
+                for kind, entity in sorted(set(_checked(value))):
                     out["of"].append(digest)
                     out["kind"].append(kind)
                     out["value"].append(entity)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string()) for k, v in out.items()})
 
     digest = F.sha2("text", 256)
-    held = rows.filter("text is not null").select(digest.alias("of"), "text").mapInArrow(mentions, "of string, kind string, value string")
+    held = rows.filter("text is not null").select(digest.alias("of"), "text").mapInArrow(held_in, "of string, kind string, value string")
     # one text holds no more exceptions than it has mentions
     own = (
         held.join(moved, ["kind", "value"])

@@ -573,6 +573,34 @@ def test_surrogates_keep_form_and_coreference(spark):
     assert surrogates.pseudonymise(docs_of(spark, [])).count() == 0
 
 
+def test_names_behind_titles_are_found_whole():
+    texts = {
+        "Mr and Mrs Smith": ["smith"], "Mr. & Mrs. John Smith": ["john", "smith"], "Mr. J. Brown": ["j", "brown"],
+        "Mr J.R. Brown": ["j", "r", "brown"], "Dr Martin Luther King spoke": ["martin", "luther", "king"], "Mr  Brown": ["brown"],
+        "Mr\nBrown": ["brown"], "Mr.\u00a0Brown": ["brown"], "Mr Peter\nBrown": ["peter", "brown"], "Mr Brown said": ["brown"],
+        "Mr Brown's car": ["brown"], "Herr Dr. Müller": ["müller"], "Herr von Goethe": ["goethe"], "Señora de la Cruz": ["cruz"],
+        "Mr Brown Mrs Green": ["brown", "green"], "Mr Brown. The end": ["brown"], "the Prof said": [], "Mr Jean-Luc O'Neil": ["jean-luc", "o'neil"],
+    }
+    for text, want in texts.items():
+        found = [v for _, parts in surrogates.mentions(text) for _, _, _, v in parts]
+        assert found == want, text
+
+
+def test_names_keep_coreference(spark):
+    rows = [
+        (1, "Mr Peter Brown came. Mr Brown sat; later Peter Brown and P. Brown left, BROWN said. The brown dog of Brownsville stayed."),
+        (2, "Mrs Brown met Dr Martin Luther King. Luther King spoke."), (3, "Brown is a colour and Peter Brown has no title here."),
+    ]
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, rows)).collect()}
+    shape = r"Mr (\w+) (\w+) came\. Mr (\w+) sat; later (\w+) (\w+) and \w\. (\w+) left, (\w+) said\. The brown dog of Brownsville stayed\."
+    given, surname, *others = re.fullmatch(shape, got[1]["text"]).groups()
+    assert surname != "Brown" and given in surrogates.FIRST_NAMES["m", "latin"]
+    assert others == [surname, given, surname, surname, surname.upper()] and got[1]["n_entities"] == 5
+    other, *king = re.fullmatch(r"Mrs (\w+) met Dr (\w+) (\w+) (\w+)\. (\w+) (\w+) spoke\.", got[2]["text"]).groups()
+    assert other == surname and king[1:3] == king[3:] and not {"Luther", "King"} & set(king)
+    assert got[3]["text"] == rows[2][1]
+
+
 def test_permutations_are_one_to_one():
     ssn = {surrogates.permute("k", "phone", f"555-{i:04d}") for i in range(3000)}
     assert len(ssn) == 3000

@@ -264,10 +264,10 @@ def fit(
                     start += n
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["y", "x"])
 
-    # at most fit_rows ids: bounded by the parameter
-    chosen = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), text_of(text).alias("text")).join(
-        F.broadcast(known), "id"
-    )
+    # at most fit_rows rows: of an id's rows, the text with the smallest hash
+    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), text_of(text).alias("text"))
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "y", "text")).alias("row")
+    chosen = rows.join(F.broadcast(known), "id").groupBy("id").agg(least).select("row.y", "row.text")
     got = chosen.select("y", "text").mapInArrow(features, "y int, x binary").toArrow()
     label_of = np.asarray(got["y"], dtype=float)
     if len(label_of) == 0 or label_of.min() == label_of.max():

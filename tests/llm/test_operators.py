@@ -331,6 +331,14 @@ def test_quality_cases(spark):
     assert quality.classify(docs.limit(0), quality.fit(docs.limit(0), some)).count() == 0
 
 
+def test_a_repeated_id_counts_once_in_the_fit(spark):
+    once = [(i, f"line {i}\nmore words {'x' * i}") for i in range(1, 13)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 13)], "doc_id long, quality int")
+    a = quality.fit(docs_of(spark, once), labels, steps=5)
+    b = quality.fit(docs_of(spark, once + [once[2]] * 60), labels, steps=5)
+    assert np.allclose(a.mean, b.mean) and np.allclose(a.weights, b.weights) and np.allclose(a.curve, b.curve)
+
+
 # 6 Jaccard join
 
 

@@ -10,6 +10,7 @@ from shelfspark.llm import (  # noqa: F401
     mixing,
     packing,
     quality,
+    secrets,
     surrogates,
     url_filter,
     warc,

@@ -61,24 +61,25 @@ class CharClass:
 CLASSES = (
     CharClass("entropy_hex", "0-9A-Fa-f", 24, 3.0, 2),
     CharClass("entropy_capital", "A-Z0-9", 20, 3.5, 2),
-    CharClass("entropy_base64", TOKEN, 24, 4.0, 2),
+    CharClass("entropy_base64", TOKEN, 24, 4.0, 3),
 )
 
 
 @dataclass(frozen=True)
 class AllowList:
-    """Harmless strings: ``inside`` is searched in the span's own text, ``before`` must end where the
-    span's candidate begins (in at most ``look_back`` characters)."""
+    """Harmless strings: ``inside`` is searched in the span's own text, ``candidate`` in the candidate
+    that holds it, ``before`` in at most ``look_back`` characters that end where the candidate begins."""
 
     inside: tuple[str, ...] = (
         r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
         r"(?i)example|placeholder|changeme|your[_-]",
         r"(?i)abcdefghijkl|mnopqrstuvwx|0123456789",
     )
+    candidate: tuple[str, ...] = (r"(?i)^(?:md5|sha1|sha256|sha384|sha512)[=-]",)
     before: tuple[str, ...] = (
         r"(?i)\b[a-z][a-z0-9+.-]*://\S*$",
         r"(?i)\bdata:[a-z0-9/+.-]*;base64,$",
-        r"(?i)\b(?:md5|sha1|sha256|sha384|sha512)[:=-]$",
+        r"(?i)\b(?:md5|sha1|sha256|sha384|sha512):$",
     )
     look_back: int = 2048
 
@@ -108,6 +109,7 @@ class SecretScanner:
         shortest = min((c.window for c in classes), default=1)
         self.candidate = re.compile(f"[{TOKEN}]{{{shortest},}}")
         self.inside = [re.compile(p) for p in allowed.inside]
+        self.whole = [re.compile(p) for p in allowed.candidate]
         self.before = [re.compile(p) for p in allowed.before]
         self.look_back = allowed.look_back
         self.order = {k: i for i, k in enumerate([*BASE_KINDS, *[c.kind for c in classes]])}
@@ -135,13 +137,13 @@ class SecretScanner:
                 for run in pattern.finditer(text, *found.span())
                 for a, b, bits in random_spans(run[0], c, weights, most)
             ]
-            if mine and not self._known_before(text, found.start()):
+            if mine and not self._known(text, found):
                 out += [s for s in mine if not any(p.search(text[s[1] : s[2]]) for p in self.inside)]
         return sorted(out, key=lambda s: (s[1], self.order[s[0]], s[2]))
 
-    def _known_before(self, text: str, start: int) -> bool:
-        lead = text[max(0, start - self.look_back) : start]
-        return any(p.search(lead) for p in self.before)
+    def _known(self, text: str, candidate: re.Match) -> bool:
+        lead = text[max(0, candidate.start() - self.look_back) : candidate.start()]
+        return any(p.search(candidate[0]) for p in self.whole) or any(p.search(lead) for p in self.before)
 
 
 def random_spans(run: str, c: CharClass, weights: list[int], most: int) -> list[tuple[int, int, float]]:

@@ -42,7 +42,7 @@ def windows(text, classes, allowed):
         if len(found[0]) < least:
             continue
         lead = text[: found.start()]
-        if any(re.search(p, lead[-allowed.look_back :]) for p in allowed.before):
+        if any(re.search(p, lead[-allowed.look_back :]) for p in allowed.before) or any(re.search(p, found[0]) for p in allowed.candidate):
             continue
         for c in classes:
             for run in re.finditer(f"[{c.characters}]+", found[0]):
@@ -119,7 +119,7 @@ def test_harmless_strings_are_left_out_and_fixed_patterns_stay(spark):
     found = {i: [s[0] for s in spans] for i, spans in spans_of(spark, rows)}
     assert found.pop(7)[0] == "assign"
     assert found == {1: ["entropy_base64"], 2: [], 3: [], 4: [], 5: [], 6: [], 8: ["hex"], 9: []}
-    bare = secrets.AllowList((), ())
+    bare = secrets.AllowList((), (), ())
     assert spans_of(spark, rows[1:2], allowed=bare) == [(2, brute(rows[1][1], allowed=bare))] != [(2, [])]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shelfspark.llm import (  # noqa: F401
+    alignment,
     ann,
     exact_dedup,
     jaccard_join,

@@ -12,6 +12,7 @@ from shelfspark.llm import (  # noqa: F401
     packing,
     quality,
     secrets,
+    spelling,
     surrogates,
     url_filter,
     warc,

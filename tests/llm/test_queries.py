@@ -31,7 +31,7 @@ def test_query_equals_sql(name, spark, con, sf_dir):
 
 
 def test_operators_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == [*range(1, 13)]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == [*range(1, 14)]
 
 
 def test_pipeline(spark, sf_dir):

@@ -9,8 +9,9 @@ group ends; all tokens of a group's two sides are linked.
 The installed sentencepiece has no immutable proto any more; its offset mapping holds the same
 spans.
 
-Texts are cut into chunks at blanks and line ends after other characters, where neither tokenizer
-joins anything (both files are checked for that; with others a text is one chunk). Tokens and groups
+Texts are cut into chunks at blanks and line ends after other characters, and at points and commas
+after common letters, where neither tokenizer joins anything (both files are checked for that; with
+others a text is one chunk). Tokens and groups
 of a chunk are worked out once per task and kept up to a bound in bytes; longer chunks are not kept.
 
 Counts of linked id pairs are taken over all documents. The pairs held by most documents, at most
@@ -29,6 +30,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ KEPT_BYTES = 96 << 20
 KEPT_CHUNK = 64
 # Characters of chunks that are tokenised in a row.
 ROW = 1 << 16
+# Letters after which points and commas are cut off.
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 # Groups with more links than this are linked id by id, not occurrence by occurrence.
 SMALL_GROUP = 64
 # Id pairs that are broadcast (long, long, boolean): 10 MB.
@@ -110,6 +114,10 @@ def _byte_starts(text: str) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])
 
 
+def _pairs_of(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+
+
 def _decimals(values: np.ndarray, after: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Decimal numbers, each followed by its separator, in a row; and where each begins, and the end."""
     width = len(str(int(values.max()))) if len(values) else 1
@@ -160,8 +168,9 @@ def _linked(ids_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, of_b: np.nda
 class ChunkAligner:
     """Aligned tokens of chunks of text, each worked out once while it is kept."""
 
-    # a blank or line end that follows another character, and is followed by any
-    _CUT = re.compile(r"(?<=[^\s▁])(?=[ \n].)", re.DOTALL)
+    # a blank or line end that follows another character, and is followed by any; a point or comma
+    # that follows a letter
+    _CUT = re.compile(rf"(?<=[^\s▁])(?=[ \n].)|(?<={LETTER})(?=[.,])", re.DOTALL)
 
     def __init__(self, byte_file: str, piece_file: str, kept: int = KEPT_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -199,9 +208,10 @@ class ChunkAligner:
         plain_a = plain_a and step.get("use_regex", False) and not step.get("add_prefix_space", True)
         normal, kinds = model.normalizer_spec, {p.type for p in model.pieces}
         plain_b = normal.name == "identity" and normal.add_dummy_prefix and not normal.remove_extra_whitespaces
+        joined = re.compile(f"[^▁]▁|.\n|\n.|{LETTER}[.,]", re.DOTALL)
         # 2: BPE; 4: pieces that the user defined are matched whatever stands around them
         plain_b = plain_b and model.trainer_spec.model_type == 2 and 4 not in kinds
-        return plain_a and plain_b and not any(re.search("[^▁]▁|.\n|\n.", p.piece, re.DOTALL) for p in model.pieces)
+        return plain_a and plain_b and not any(joined.search(p.piece) for p in model.pieces)
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
@@ -215,14 +225,18 @@ class ChunkAligner:
         whole = " " + text
         return self._CUT.split(whole) if self.by_chunk else [whole]
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Chunks are tokenised in rows, which may be cut again where they were joined."""
+    def _learn(self, fresh: set[str]) -> None:
+        """Chunks are tokenised in rows, where they are cut from one another as in their texts."""
         row, size = [], 0
-        for chunk in fresh:
-            # a chunk that ends in a blank would join the next one
-            if row and (size + len(chunk) > ROW or not self.by_chunk or not self._CUT.match(row[-1][-1:] + chunk[:2], 1)):
+        # a row begins with a blank or a line end, and a point or comma follows a letter
+        for chunk in sorted(fresh):
+            alone = not self.by_chunk or len(chunk) == 1 or row and (row[-1][-1].isspace() or row[-1][-1] == "▁")
+            marked = self.by_chunk and chunk[0] in ".,"
+            if row and (size + len(chunk) > ROW or alone and not marked):
                 self._add(row)
                 row, size = [], 0
+            if marked:
+                row.append(" a")
             row.append(chunk)
             size += len(chunk)
         if row:
@@ -230,14 +244,14 @@ class ChunkAligner:
 
     def _tokens_a(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = self.a.encode(text, add_special_tokens=False)
-        spans = starts[np.array(found.offsets, np.int64).reshape(-1, 2)]
+        spans = starts[_pairs_of(found.offsets)]
         return np.array(found.ids, np.int64), spans[:, 0], spans[:, 1]
 
     def _tokens_b(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # sentencepiece adds the blank before the text; one before a line end is dropped again
         added = text[0] == " "
         found = self.b.encode(text[added:], return_type="offset_mapping", return_bytes=True)
-        spans = np.array(found["offsets"], np.int64).reshape(-1, 2)
+        spans = _pairs_of(found["offsets"])
         ids = np.array(found["ids"], np.int64)
         if not added:
             return ids[1:], spans[1:, 0], spans[1:, 1]
@@ -267,7 +281,8 @@ class ChunkAligner:
         (ids_a, ends_a, own_a), (ids_b, ends_b, own_b) = [
             tuple(x[good[side[2]]] for x in side) for side in sides
         ]
-        common = np.intersect1d(ends_a, ends_b)
+        # both rise, but over chunks that are left out
+        common = ends_a[ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)] == ends_a] if len(ends_b) else ends_b
         of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
         group_owner = np.searchsorted(bounds, common, side="left") - 1
         group, pairs, times = _linked(ids_a, of_a, ids_b, of_b, len(common))
@@ -284,7 +299,7 @@ class ChunkAligner:
         self.pairs.extend(pairs.tolist())
         self.times.extend(times.tolist())
         self.start.extend((base + np.searchsorted(owner, np.arange(1, n + 1))).tolist())
-        self.held += 320 * n + 2 * len(data) + 16 * len(pairs) + sum(map(len, said))
+        self.held += 270 * n + len(text) + 16 * len(pairs) + sum(map(len, said))
 
     @staticmethod
     def _said(ids_a, of_a, own_a, ids_b, of_b, own_b, n: int) -> list[str]:
@@ -307,12 +322,12 @@ class ChunkAligner:
         if self.held > self.kept:
             self.clear()
         parts = [self.chunks(t) if t else [] for t in texts]
-        fresh = {c for p in parts for c in p} - self.code.keys()
-        self._learn(sorted(fresh))
+        fresh = set().union(*parts) - self.code.keys()
+        self._learn(fresh)
         counts = np.array([len(p) for p in parts], np.int64)
-        flat = np.fromiter((self.code[c] for p in parts for c in p), np.int64, int(counts.sum()))
+        flat = np.fromiter(map(self.code.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(texts)), counts)
-        table = np.array(self.figures, np.int64).reshape(-1, 4)
+        table = np.frombuffer(self.figures, np.int64).reshape(-1, 4) if self.figures else np.zeros((0, 4), np.int64)
         # a chunk that is not spelt makes its text one without tokens
         odd = np.zeros(len(texts), bool)
         odd[owner[table[flat, 0] == 0]] = True
@@ -330,7 +345,9 @@ class ChunkAligner:
     def _links(self, owner: np.ndarray, flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start = np.array(self.start)
         # each text's different chunks, with how often they come
-        key, often = np.unique(owner * len(start) + flat, return_counts=True)
+        key = np.sort(owner * len(start) + flat)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        key, often = key[first], np.diff(np.append(first, len(key)))
         owner, flat = np.divmod(key, len(start))
         sizes = start[flat + 1] - start[flat]
         first = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])

@@ -1,18 +1,19 @@
 """First and latest record per product, rejects with reasons, price history, limits, unions.
 
-No operator sorts a whole product in one task. "First" and "latest" are grouped minima and
-maxima (combined before the shuffle); per-row verdicts join those minima back on (id, order key),
-which spreads a hot id over all tasks; history splits hot ids into time buckets.
+No operator gathers a product in one task. "First" and "latest" are whole rows picked by a grouped
+minimum or maximum, combined before the one shuffle. Verdicts and history look at the row before, in
+ranges of a global order (``ranged``): read once, dealt once, and a hot id is spread like any other.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfspark.functions.text import blank_to_null, safe_str
-from shelfspark.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys, splittable_left_join
+from shelfspark.operators.ranged import content, with_previous
+from shelfspark.operators.skew import splittable_left_join
 from shelfspark.session import scratch
 
 MISSING = "missing product_id"
@@ -22,33 +23,28 @@ EMPTY = "empty document text"
 FIRST_IN_ONE_TASK = 10_000
 
 
-def _position(order: list[str], latest: bool = False) -> Column:
-    """A key that is never null: missing order values come last among firsts, first among latest."""
+def _position(order: list[Column], latest: bool = False) -> list[Column]:
+    """A position that is never null: missing order values come last among firsts, first among latest."""
     parts = []
     for i, c in enumerate(order):
-        missing = F.col(c).isNull()
-        parts += [(~missing if latest else missing).alias(f"m{i}"), F.col(c).alias(f"v{i}")]
-    return F.struct(*parts)
-
-
-def _content(df: DataFrame) -> Column:
-    """A number that differs between rows that differ: the last tie-break of an order."""
-    return F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+        missing = c.isNull()
+        parts += [(~missing if latest else missing).alias(f"m{i}"), c.alias(f"v{i}")]
+    return parts
 
 
 def _extreme(df: DataFrame, key: str, order: list[str], latest: bool) -> DataFrame:
     """One row per key at its first or last position.
 
-    The position is a combined minimum over narrow columns; whole rows are only joined back, on key
-    *and* position, so a hot key's other rows never gather. Rows that tie in ``order`` are told
-    apart by their content, and of equal rows one is taken.
+    Whole rows are picked by a minimum or maximum that is combined where they are read, so a hot key
+    sends one row a task. Rows that tie in ``order`` are told apart by their content, and of equal
+    rows one is taken. The row is one column, so none of its names clashes.
     """
-    rows = df.withColumn("_tie", _content(df)).withColumn("_at", _position([*order, "_tie"], latest))
-    best = F.max("_at") if latest else F.min("_at")
-    ends = rows.groupBy(F.col(key).alias("_end_key")).agg(best.alias("_end_at"))
-    found = rows.join(ends, F.col(key).eqNullSafe(F.col("_end_key")) & (F.col("_at") == F.col("_end_at")))
-    one = Window.partitionBy("_end_key").orderBy("_tie")
-    return found.withColumn("_place", F.row_number().over(one)).filter("_place = 1").select(*df.columns)
+    by = {c: F.col(f"`{c}`") for c in order}
+    at = F.struct(*_position(list(by.values()), latest), content(df).alias("tie"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    pick = F.max_by if latest else F.min_by
+    ends = df.groupBy(F.col(f"`{key}`").alias("key")).agg(pick(row, at).alias("row"))
+    return ends.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -69,32 +65,19 @@ def with_reject_reason(
     Checked in turn: missing id, id already claimed by an earlier row, empty document. An id is
     claimed before its document is checked, so a later row never replaces an empty first one.
     Exactly one row claims an id: rows without an order value come last, ties are broken by content,
-    and of equal rows one is taken. The first position per id is a pre-combined minimum; joining it
-    on both id and position keeps a hot id's rows spread over all tasks.
+    and of equal rows one is taken. A row claims its id if the row before it, in the order of id and
+    position, has another.
     """
     by = [order] if isinstance(order, str) else list(order)
-    rows = df.withColumn("_id", blank_to_null(safe_str(F.col(key)))).withColumn("_tie", _content(df))
-    rows = rows.withColumn("_at", _position([*by, "_tie"]))
-    firsts = (
-        rows.filter(F.col("_id").isNotNull())
-        .groupBy(F.col("_id").alias("_first_id"))
-        .agg(F.min("_at").alias("_first_at"))
+    id_ = blank_to_null(safe_str(F.col(f"`{key}`")))
+    places = _position([F.col(f"`{c}`") for c in by])
+    flagged = with_previous(df, id_, places, F.lit(None).cast("boolean"), "claimed before", "no value")
+    reason = (
+        F.when(id_.isNull(), MISSING)
+        .when(F.col("claimed before"), DUPLICATE)
+        .when(F.coalesce(F.col(f"`{document}`"), F.lit("")) == "", EMPTY)
     )
-    at_first = (F.col("_id") == F.col("_first_id")) & (F.col("_at") == F.col("_first_at"))
-    # equal rows share the first position: only they meet, and one of them is accepted
-    one = Window.partitionBy("_first_id").orderBy("_tie")
-    first = rows.join(firsts, at_first).withColumn("_place", F.row_number().over(one))
-    claims = first.select(
-        *[F.col(c) for c in df.columns],
-        F.when(F.col("_place") > 1, DUPLICATE)
-        .when(F.coalesce(F.col(document), F.lit("")) == "", EMPTY)
-        .alias("reason"),
-    )
-    others = rows.join(firsts, at_first, "left_anti").select(
-        *[F.col(c) for c in df.columns],
-        F.when(F.col("_id").isNull(), MISSING).otherwise(DUPLICATE).alias("reason"),
-    )
-    return claims.unionByName(others)
+    return flagged.select(*[F.col(f"`{c}`") for c in df.columns], reason.alias("reason"))
 
 
 def accepted(flagged: DataFrame) -> DataFrame:
@@ -112,55 +95,19 @@ def reason_counts(flagged: DataFrame) -> DataFrame:
     )
 
 
-def price_history(
-    df: DataFrame,
-    key: str,
-    time: str,
-    price: str,
-    ties: list[str],
-    bucket: str = "hour",
-    share: int = HOT_SHARE,
-    least: int = HOT_ROWS,
-) -> DataFrame:
+def price_history(df: DataFrame, key: str, time: str, price: str, ties: list[str]) -> DataFrame:
     """Add ``previous_price`` and ``price_change`` of each record against the one before it.
 
-    Ordinary ids are one window each. Ids with over 1/share of all rows and at least ``least``
-    (fewer than ``share`` of them) are cut into time buckets: each bucket is a window of its own,
-    and its first record takes the last price of the id's bucket before it. Records of one
-    instant share a bucket, so the finer the times, the finer ``bucket`` may be. ``df`` is read
-    several times, mostly for a few columns: pass a stored table.
+    Records are put in the order of id, time and ties, and each takes the price of the row before if
+    that has its id. A missing id is an id; missing times come first. Neither an id nor one instant
+    of it is a task of its own.
     """
-    # a missing id may be hot too
-    hot = hot_keys(df, key, share, least).withColumn("_is_hot", F.lit(True))
-    # fewer than `share` rows by construction, so the broadcast is bounded
-    tagged = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn(
-        "_bucket", F.when(F.col("_is_hot"), F.coalesce(F.date_trunc(bucket, time), F.lit("0001-01-01").cast("timestamp_ntz")))
-    )
-    order = [F.col(time), *[F.col(c) for c in ties]]
-    by_bucket = Window.partitionBy(key, "_bucket").orderBy(*order)
-    lagged = tagged.withColumn("_previous", F.lag(price).over(by_bucket)).withColumn(
-        "_place", F.row_number().over(by_bucket)
-    )
-    ends = (
-        tagged.filter(F.col("_bucket").isNotNull())
-        .groupBy(key, "_bucket")
-        .agg(F.max_by(price, F.struct(time, *ties)).alias("_last"))
-    )
-    # one row per hot id and bucket: at most `share` ids, one row for each bucket they were seen in
-    before = ends.select(
-        F.col(key).alias("_k"),
-        F.col("_bucket").alias("_b"),
-        F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket")).alias("_carried"),
-    )
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))
-    joined = lagged.join(before, same, "left")
-    previous = F.when((F.col("_place") == 1) & F.col("_bucket").isNotNull(), F.col("_carried")).otherwise(
-        F.col("_previous")
-    )
-    return joined.select(
-        *df.columns,
-        previous.alias("previous_price"),
-        (F.col(price) - previous).alias("price_change"),
+    order = [F.col(f"`{c}`") for c in (time, *ties)]
+    found = with_previous(df, F.col(f"`{key}`"), order, F.col(f"`{price}`"), "same id", "previous price")
+    return found.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.col("previous price").alias("previous_price"),
+        (F.col(f"`{price}`") - F.col("previous price")).alias("price_change"),
     )
 
 

@@ -12,6 +12,7 @@ from shelfspark.operators import dedupe as D
 from shelfspark.operators import merge as J
 from shelfspark.operators import quality as Q
 from shelfspark.operators.pages import product_links
+from shelfspark.operators.ranged import with_rank
 from shelfspark.plans.ingest import prepare
 from shelfspark.plans.registry import query
 from shelfspark.plans.text_queries import _ID_URL, DOCUMENT_SQL
@@ -261,7 +262,7 @@ def price_history_hot(spark, sf):
         F.when(F.col("l_orderkey") % 3 == 0, F.lit("0")).otherwise(F.col("product_id")).alias("id"),
         "scraped_at", "l_orderkey", "l_linenumber", "price_regular", "price_current",
     )
-    h = D.price_history(s, "id", "scraped_at", "price_current", _TIES, share=200, least=0)
+    h = D.price_history(s, "id", "scraped_at", "price_current", _TIES)
     return h.drop("price_regular", "price_change")
 
 
@@ -277,7 +278,7 @@ def price_history_null_ids(spark, sf):
         F.when(F.col("l_orderkey") % 3 != 0, F.col("product_id")).alias("id"),
         "scraped_at", "l_orderkey", "l_linenumber", "price_regular", "price_current",
     )
-    h = D.price_history(s, "id", "scraped_at", "price_current", _TIES, share=200, least=0)
+    h = D.price_history(s, "id", "scraped_at", "price_current", _TIES)
     return h.drop("price_regular", "price_change")
 
 
@@ -405,6 +406,18 @@ def encounter_order(spark, sf):
     return links.select("page_id", "url", place.alias("place"))
 
 
+@query(
+    "l3_global_rank",
+    """with u as (select page_id, unnest(l) as href, generate_subscripts(l, 1) - 1 as pos from
+        (select page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) as l from pages)),
+      f as (select page_id, href, min(pos) as pos from u group by page_id, href)
+      select page_id, 'https://shop.example' || href as url, row_number() over (order by page_id, pos) as place from f""",
+)
+def global_rank(spark, sf):
+    links = product_links(load(spark, sf, "pages"), ["page_id"], "https://shop.example")
+    return with_rank(links, ["page_id", "pos"], "place").select("page_id", "url", "place")
+
+
 # -- unions -----------------------------------------------------------------------------------
 
 

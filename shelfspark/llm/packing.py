@@ -10,8 +10,11 @@ Every row is cut where it is read: nothing is shuffled, and a hot source or very
 care beyond its own task. Sequence ids number the pieces of a task in order, so a lost task gives
 the same ids again.
 
-Blanks and line ends separate words in the given tokenizer, so texts are cut there and each
-different chunk is tokenised once per task (the chunk table is emptied when it is full).
+The given tokenizer drops white space and joins nothing over it, so texts are cut at blanks and line
+ends and each different chunk is tokenised once per task. Chunks of common scripts are cut into words
+here, many at a time, and each different word goes through the vocabulary's merges once; all other
+chunks go through the whole tokenizer. The tables are emptied when they have grown to ``KEPT_BYTES``.
+A tokenizer file with other rules gets whole texts.
 
 Defined cases: null text is empty, and an empty text is its end id alone (one piece of 1). Repeated
 rows are packed each. A null doc_id stays null. Extra columns are ignored.
@@ -19,14 +22,15 @@ rows are packed each. A null doc_id stays null. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfspark.llm.common import read, slices
@@ -35,8 +39,12 @@ from shelfspark.llm.registry import query
 MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# Different chunks of text a task remembers.
-CHUNKS_KEPT = 600_000
+# Bytes of chunks, words and their ids that a task keeps.
+KEPT_BYTES = 96 << 20
+# How the given tokenizer takes words out of a normalised text, as its file says: the pattern matches
+# no white space, and what it leaves out is dropped.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL_STEPS = ("NFC", "Replace", "Lowercase")
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, offset long, ids array<int>"
@@ -56,76 +64,107 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-# How the given tokenizer splits a normalised text into words, as its file says.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# Chunks that are lower-cased and split here, being in composed form; control characters, combining
-# marks, letters with a canonical twin or two small forms, rarer scripts and the brackets of special
-# tokens are left to the tokenizer.
+# Chunks that are lower-cased and cut into words here, being in composed form; control characters,
+# combining marks, letters with a canonical twin or two small forms, rarer scripts and the brackets
+# of special tokens are left to the tokenizer.
 _PLAIN = re.compile("[!-;=-~\u00c0-\u02af\u0370-\u0373\u0375-\u037d\u037f-\u0386\u0388-\u03a2\u03a4-\u0482\u048a-\u04ff]+")
+# The word pattern over these characters, and the line end that stands between chunks.
+_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
-class ChunkTokenizer:
-    """Token ids of texts, tokenising each different chunk between blanks and line ends once.
+class IdTable:
+    """Ids of strings: a code for each, and one array of all ids."""
 
-    Chunks of common scripts are split into words here, and words go to the vocabulary's merges; all
-    others pass through the whole tokenizer. Both tables are emptied when they hold ``kept`` entries.
-    """
+    def __init__(self) -> None:
+        self.code: dict[str, int] = {}
+        self.ids = array("I")
+        self.start = array("q", [0])
+
+    def gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings in a row, n + 1 offsets)."""
+        start, ids = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.uint32)
+        first = start[codes]
+        lengths = start[codes + 1] - first
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        return ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], lengths)], ends
+
+    def add(self, strings: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Strings with their ids in a row and n + 1 offsets."""
+        self.code.update(zip(strings, range(len(self.code), len(self.code) + len(strings))))
+        self.start.frombytes((len(self.ids) + ends[1:]).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+
+    def size(self) -> int:
+        return 160 * len(self.code) + 4 * len(self.ids)
 
-    def __init__(self, path: str, kept: int = CHUNKS_KEPT) -> None:
+
+class ChunkTokenizer:
+    """Token ids of texts, tokenising each different chunk between blanks and line ends once while
+    it is kept."""
+
+    def __init__(self, path: str, kept: int = KEPT_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        with open(path, encoding="utf-8") as file:
+            self.by_chunk = self._drops_white_space(json.load(file))
         self.kept = kept
-        self.words: dict[str, list[int]] = {}
         self.clear()
 
+    @staticmethod
+    def _drops_white_space(rules: dict) -> bool:
+        """Whether the file's rules are the known ones, under which chunks stand alone."""
+        normal, split = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}
+        steps = tuple(s["type"] for s in normal.get("normalizers", ()))
+        first = (split.get("pretokenizers") or [{}])[0]
+        taken = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+        plain = not any(t["lstrip"] or t["rstrip"] or any(map(str.isspace, t["content"])) for t in rules["added_tokens"])
+        return bool(taken and plain and steps == NORMAL_STEPS and first["pattern"].get("Regex") == WORD_PATTERN)
+
     def clear(self) -> None:
-        self.code: dict[str, int] = {"": 0}
-        self.ids = array("I")
-        self.start = array("q", [0, 0])
+        self.words, self.chunks = IdTable(), IdTable()
 
     def _word(self, word: str) -> list[int]:
         raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return [token.id for token in self.model.tokenize(raw)]
 
-    def _chunk(self, chunk: str) -> list[int]:
-        if not _PLAIN.fullmatch(chunk):
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for word in _WORDS.findall(chunk.lower()):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= self.kept:
-                    self.words.clear()
-                ids = self.words[word] = self._word(word)
-            out += ids
-        return out
-
-    def _learn(self, fresh: set[str]) -> None:
-        code, ids, start = self.code, self.ids, self.start
+    def _learn(self, fresh: list[str]) -> None:
+        plain, odd = [], []
         for chunk in fresh:
-            code[chunk] = len(start) - 1
-            ids.extend(self._chunk(chunk))
-            start.append(len(ids))
+            (plain if _PLAIN.fullmatch(chunk) else odd).append(chunk)
+        found = _WORDS.findall("\n".join(plain).lower()) if plain else []
+        table = self.words.code
+        new = list(set(found) - table.keys() - {"\n"})
+        self._store(self.words, new, [self._word(w) for w in new])
+        # the words of all plain chunks in a row; a line end ends a chunk
+        codes = np.fromiter(map(table.get, found, repeat(-1)), np.int64, len(found))
+        words = codes[codes >= 0]
+        ids, ends = self.words.gathered(words)
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(codes >= 0)[codes < 0], np.array([len(words)])])
+        if plain:
+            self.chunks.add(plain, ids, ends[at])
+        self._store(self.chunks, odd, [self.tokenizer.encode(c, add_special_tokens=False).ids for c in odd])
+
+    @staticmethod
+    def _store(table: IdTable, strings: list[str], ids: list[list[int]]) -> None:
+        flat = np.array([i for x in ids for i in x], np.uint32)
+        table.add(strings, flat, np.cumsum([0, *map(len, ids)]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, n + 1 offsets)."""
+        if not self.by_chunk:
+            found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0, *map(len, found)])
         counts = np.array([text.count(" ") + text.count("\n") + 1 for text in texts], np.int64)
         chunks = " ".join(texts).replace("\n", " ").split(" ")
-        fresh = set(chunks) - self.code.keys()
-        if len(self.code) + len(fresh) > self.kept:
+        if self.words.size() + self.chunks.size() > self.kept:
             self.clear()
-            fresh = set(chunks) - {""}
-        self._learn(fresh)
-        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
-        start = np.array(self.start)
-        first, lengths = start[codes], start[codes + 1] - start[codes]
-        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-        at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], lengths)
-        bounds = ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])]
-        return np.array(self.ids, np.uint32)[at], bounds
+        self._learn(list(set(chunks) - self.chunks.code.keys()))
+        codes = np.fromiter(map(self.chunks.code.__getitem__, chunks), np.int64, len(chunks))
+        ids, ends = self.chunks.gathered(codes)
+        return ids, ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])]
 
 
 def pieces(

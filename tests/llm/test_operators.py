@@ -9,9 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from shelfspark.llm import (
     ann,
@@ -420,8 +422,6 @@ def test_shingles_of_short_texts_differ():
 
 
 def test_packing_equals_the_tokenizer(spark, sf_dir):
-    from tokenizers import Tokenizer
-    import public_tokenizers
 
     whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     rows = EDGES + [(r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
@@ -444,6 +444,28 @@ def test_packing_equals_the_tokenizer(spark, sf_dir):
     assert packing.pieces(docs_of(spark, [])).count() == 0
 
 
+def test_packing_with_another_tokenizer_takes_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    assert not packing.ChunkTokenizer(path).by_chunk and packing.ChunkTokenizer(public_tokenizers.path(packing.TOKENIZER)).by_chunk
+    got = packing.pieces(docs_of(spark, EDGES), tokenizer=path, end_id=50256).orderBy("doc_id", "start").collect()
+    for i, text in [(7, "A  B\tc d E"), (10, "é日本 🎉"), (9, "word " * 60_000)]:
+        assert [x for r in got if r["doc_id"] == i for x in r["ids"]] == [*whole.encode(text, add_special_tokens=False).ids, 50256]
+
+
+def test_random_texts_are_packed_as_the_tokenizer_says():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    whole, coder = Tokenizer.from_file(path), packing.ChunkTokenizer(path, kept=5000)
+    rng = random.Random(7)
+    parts = ["the", " ", " ", "\n", "\t", "é", "E\u0301", "\u0301", "ΣΑΣ", "ΑΣ.", "İ", "日本", "🎉", "it's", "WE'LL", "12", "½", "),", "<|endoftext|>",
+             "<|startoftext|>", "<", "|", "\x1c", "\x85", "\u2028", "\u3000", "\u200b", "ﬁ", "ẞ", "가", "\u1100\u1161", "x" * 50, "...", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    for i in range(0, 4000, 250):
+        ids, at = coder.encode(texts[i : i + 250])
+        for k, text in enumerate(texts[i : i + 250]):
+            assert ids[at[k] : at[k + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_full_chunk_table_changes_nothing():
     import public_tokenizers
 

@@ -38,6 +38,8 @@ FEATURES = 4096
 # Byte pairs of one text are not independent: evidence levels off at this many.
 EVIDENCE = 40.0
 STEPS = 30
+# Texts whose counts are held at a time: 16 MB.
+COUNTED = 256
 TOLERANCE = 1e-6
 # Scarce domains get shares by this power of their own ones.
 TEMPERATURE = 0.7
@@ -71,6 +73,11 @@ class Domains:
     chances: np.ndarray
 
     def posteriors(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text; texts are counted a few at a time, as each takes FEATURES numbers twice."""
+        blocks = [self._posteriors(texts.slice(i, COUNTED)) for i in range(0, len(texts), COUNTED)]
+        return np.concatenate(blocks) if blocks else np.zeros((0, len(self.names)))
+
+    def _posteriors(self, texts: pa.Array) -> np.ndarray:
         counts = pair_counts(*text_bytes(texts))
         total = counts.sum(axis=1, keepdims=True)
         logits = self.prior + (counts @ self.chances) / (1 + total / EVIDENCE)

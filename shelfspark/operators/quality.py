@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfspark.functions.nested import iso_to_time
 from shelfspark.functions.text import blank_to_null
+from shelfspark.operators.ranged import content
 
 
 def bad_price(price: Column) -> Column:
-    """Not a number, or not above zero."""
+    """Not a number, not above zero, or not finite."""
     value = price.cast("string").try_cast("double")
-    return value.isNull() | (value <= 0)
+    return value.isNull() | F.isnan(value) | (value <= 0) | (value == float("inf"))
 
 
 def bad_rating(rating: Column) -> Column:
@@ -49,13 +50,27 @@ def duplicate_ids(df: DataFrame, key: str = "product_id") -> DataFrame:
     ).select(F.lit("unique_ids").alias("check"), "n_rows", "n_bad")
 
 
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a whole row, as two numbers."""
+    return F.struct(content(df).alias("a"), content(df, seed=1).alias("b"))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows."""
-    per_row = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return per_row.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_bad"),
-    ).select(F.lit("duplicate_rows").alias("check"), "n_rows", "n_bad")
+    """Rows beyond the first of each group of equal rows.
+
+    Digests are counted, combined before their shuffle. Only rows whose digest another row has are
+    compared whole, so the rows that are alone never move, however wide they are.
+    """
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_digest(df).alias("digest"))
+    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    met = counts.filter("n > 1")
+    same = rows.join(met, "digest", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    all_rows = counts.agg(F.sum("n").alias("n_rows"))
+    repeated = same.agg(F.sum(F.col("n") - 1).alias("n_bad"))
+    # one row each
+    return all_rows.select(F.lit("duplicate_rows").alias("check"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")).join(
+        repeated.select(F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
+    )
 
 
 def breadcrumb_hierarchy(df: DataFrame, path: str = "category_breadcrumb", sep: str = " > ") -> DataFrame:

@@ -27,14 +27,14 @@ def _holds_map(kind: DataType) -> bool:
     return _holds_map(kind.elementType) if hasattr(kind, "elementType") else False
 
 
-def content(df: DataFrame) -> Column:
+def content(df: DataFrame, seed: int = 0) -> Column:
     """A number that differs between rows that differ: the last tie-break of an order."""
     parts = [
         F.to_json(F.struct(F.col(f"`{f.name}`")), {"ignoreNullFields": "false"}) if _holds_map(f.dataType) else F.col(f"`{f.name}`")
         for f in df.schema
     ]
     # nulls leave a hash as it is, so their places are hashed too
-    return F.xxhash64(*parts, *[F.col(f"`{f.name}`").isNull() for f in df.schema if f.nullable])
+    return F.xxhash64(F.lit(seed), *parts, *[F.col(f"`{f.name}`").isNull() for f in df.schema if f.nullable])
 
 
 def fresh(df: DataFrame, name: str) -> str:

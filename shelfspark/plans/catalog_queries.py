@@ -497,6 +497,19 @@ def positive_price(spark, sf):
     return Q.row_checks(view(spark, sf, "raw_products"), {"price": Q.bad_price(F.col("price_current"))})
 
 
+@query(
+    "q2_finite_price",
+    """with r as (select case when ord % 9 = 0 then 'NaN' when ord % 10 = 0 then 'Infinity' when ord % 11 = 0 then '-Infinity'
+        else cast(price_current as varchar) end as p from {raw_products})
+      select 'price' as "check", count(*) as n_rows, cast(count_if(not (coalesce(isfinite(try_cast(p as double)), false) and try_cast(p as double) > 0)) as bigint) as n_bad from r""",
+)
+def finite_price(spark, sf):
+    o = F.col("ord")
+    odd = F.when(o % 9 == 0, "NaN").when(o % 10 == 0, "Infinity").when(o % 11 == 0, "-Infinity")
+    r = view(spark, sf, "raw_products").select(F.coalesce(odd, F.col("price_current").cast("string")).alias("p"))
+    return Q.row_checks(r, {"price": Q.bad_price(F.col("p"))})
+
+
 @query(
     "q3_rating_range",
     """select 'rating' as "check", count(*) as n_rows, cast(count_if(rating * 1.2 not between 0 and 5) as bigint) as n_bad from {catalog}""",

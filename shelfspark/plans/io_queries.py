@@ -175,7 +175,7 @@ def snapshot_sink(spark, sf):
     return union_all(
         back("json", spark.read.schema(types).json(f"{path}/json")),
         back("csv", csv),
-        back("latest", spark.read.schema(types).json(f"{path}/latest/json")),
+        back("latest", spark.read.schema(types).json(f"{writers.latest_path(spark, path)}/json")),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -66,11 +67,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> bool:
 
 
 def write_snapshot(df: DataFrame, root: str, run: str = "run_ts", latest: bool = True) -> None:
-    """Every format under its run (``root/json``, ``root/csv``), plus an overwritten ``latest`` copy.
+    """Every format under its run (``root/json``, ``root/csv``), plus a ``latest`` copy.
 
     ``df`` has a time column ``run``. It is computed once into a staging table in the shared
     folder; the formats are written from there. Rebalancing by run keeps one file per small run
-    and splits a run that is much larger than the others.
+    and splits a run that is much larger than the others. The copy is a folder of its own below
+    ``root/latest``; a small file that names it is replaced last, so a reader (``latest_path``) meets
+    the copy before or this one, each whole, whenever the job ends.
     """
     spark = df.sparkSession
     staged = scratch(spark, "snapshot")
@@ -88,11 +91,63 @@ def write_snapshot(df: DataFrame, root: str, run: str = "run_ts", latest: bool =
     _csv(replacing()).csv(f"{root}/csv")
     if latest:
         last = rows.filter(F.col(run) == rows.agg(F.max(run)).scalar())
-        write_json(last, f"{root}/latest/json", mode="overwrite")
-        _csv(last.write.mode("overwrite")).csv(f"{root}/latest/csv")
+        version = uuid.uuid4().hex[:12]
+        write_json(last, f"{root}/latest/{version}/json")
+        _csv(last.write).csv(f"{root}/latest/{version}/csv")
+        _publish(spark, f"{root}/latest", version)
     drop_scratch(spark, staged)
 
 
+CURRENT = "_current"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _publish(spark: SparkSession, folder: str, version: str) -> None:
+    """Name the version in the pointer file, in one step, and remove those that nobody reads any more.
+
+    The version before stays for readers that have just looked it up.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pointer, fresh = _hadoop_path(spark, f"{folder}/{CURRENT}"), _hadoop_path(spark, f"{folder}/_{version}")
+    files = pointer.getFileSystem(conf)
+    before = current_version(spark, folder)
+    out = files.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(
+        files.makeQualified(fresh), files.makeQualified(pointer), over
+    )
+    for entry in files.listStatus(_hadoop_path(spark, folder)):
+        if entry.isDirectory() and entry.getPath().getName() not in (version, before):
+            files.delete(entry.getPath(), True)
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
+    """The version that the pointer file of a folder names; None where nothing was published."""
+    pointer = _hadoop_path(spark, f"{folder}/{CURRENT}")
+    files = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(pointer):
+        return None
+    stream = files.open(pointer)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
+
+
+def latest_path(spark: SparkSession, root: str) -> str:
+    """The folder of the latest copy of a snapshot's last run (``json`` and ``csv`` below it)."""
+    version = current_version(spark, f"{root}/latest")
+    if version is None:
+        raise FileNotFoundError(f"no snapshot was published under {root}")
+    return f"{root}/latest/{version}"
+
+
 BUCKET = "_bucket"
 BUCKETS = 16
 _BUCKET_FIELD = StructField(BUCKET, IntegerType())

@@ -110,10 +110,38 @@ def test_snapshots_and_latest(spark, tmp_path):
     every = readers.read_snapshots(spark, f"{root}/json")
     assert every.count() == 5 and {"material_text", "file"} <= set(every.columns)
     assert sorted(os.listdir(f"{root}/csv"))[-2:] == ["run_ts=20260201_100000", "run_ts=20260202_100000"]
-    latest = spark.read.json(f"{root}/latest/json").select("product_id", "run_ts").collect()
+    latest = spark.read.json(f"{writers.latest_path(spark, root)}/json").select("product_id", "run_ts").collect()
     assert {tuple(r) for r in latest} == {(p, "20260202_100000") for p in "123"}
 
 
+def test_latest_copy_is_whole_when_a_job_ends_early(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "runs")
+    run = typed(spark).withColumn("run_ts", F.expr("timestamp_ntz '2026-02-01 10:00:00'"))
+    with pytest.raises(FileNotFoundError):
+        writers.latest_path(spark, root)
+    writers.write_snapshot(run.filter("product_id = '1'"), root)
+    first = writers.latest_path(spark, root)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_publish", killed)
+        with pytest.raises(KeyboardInterrupt):
+            writers.write_snapshot(run, root)
+    # the new copy is there, but nobody is sent to it
+    assert writers.latest_path(spark, root) == first and spark.read.json(f"{first}/json").count() == 1
+    assert len([f for f in os.listdir(f"{root}/latest") if not f.startswith((".", "_"))]) == 2
+    writers.write_snapshot(run, root)
+    now = writers.latest_path(spark, root)
+    assert now != first and spark.read.json(f"{now}/json").count() == run.count()
+    # the copy before stays for its readers, those before it go
+    assert spark.read.json(f"{first}/json").count() == 1
+    writers.write_snapshot(run, root)
+    kept = [f for f in os.listdir(f"{root}/latest") if not f.startswith((".", "_"))]
+    assert sorted(kept) == sorted([os.path.basename(now), os.path.basename(writers.latest_path(spark, root))])
+
+
 def test_drifting_runs_read_under_one_schema(spark, tmp_path):
     early = spark.createDataFrame([("1", "A")], "product_id string, title string")
     later = spark.createDataFrame([("2", "B", True)], "product_id string, title string, best_seller boolean")

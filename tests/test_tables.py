@@ -204,3 +204,37 @@ def test_completeness_and_means(spark):
 def test_session_needs_a_shared_folder_on_a_cluster(spark):
     assert session.scratch(spark, "a") != session.scratch(spark, "a")
     assert session.scratch(spark, "a").startswith(session.shared_dir(spark))
+
+
+def test_prices_that_are_not_finite_are_bad(spark):
+    prices = [("1.5", False), ("0", True), ("-1", True), ("NaN", True), ("Infinity", True), ("-Infinity", True), ("x", True), (None, True)]
+    df = spark.createDataFrame(prices, "p string, bad boolean")
+    assert df.filter(Q.bad_price(F.col("p")) != F.col("bad")).count() == 0
+    assert df.select(Q.bad_price(F.col("p").try_cast("double")).alias("b"), "bad").filter("b <> bad").count() == 0
+
+
+def test_duplicate_rows_whose_digests_clash(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1.0, 2.0]), {"k": rng.choice([None, "x"])}) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a string, digest double, n map<string, string>").repartition(4)
+    rows = {(a, d, n["k"]) for a, d, n in rows}
+    want = [("duplicate_rows", 300, 300 - len(rows))]
+    assert [tuple(r) for r in Q.duplicate_rows(df).collect()] == want
+    # every row meets every other
+    monkeypatch.setattr(Q, "row_digest", lambda df: F.lit(7))
+    assert [tuple(r) for r in Q.duplicate_rows(df).collect()] == want
+    assert [tuple(r) for r in Q.duplicate_rows(df.limit(0)).collect()] == [("duplicate_rows", 0, 0)]
+
+
+def test_rows_that_are_alone_do_not_move(spark):
+    """Counting wide rows shuffles digests alone."""
+    wide = spark.range(2000).select("id", F.repeat(F.lit("x"), 2000).alias("pad"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("digests", "")
+    assert Q.duplicate_rows(wide).first()["n_bad"] == 0
+    stages = [s for j in tracker.getJobIdsForGroup("digests") for s in tracker.getJobInfo(j).stageIds]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    moved = [store.lastStageAttempt(s).shuffleWriteBytes() for s in stages]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < sum(moved) < 400_000

@@ -40,7 +40,9 @@ MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Bytes of chunks, words and their ids that a task keeps.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 64 << 20
+# Bytes of text whose chunks are held at a time.
+SLICE = 1 << 20
 # How the given tokenizer takes words out of a normalised text, as its file says: the pattern matches
 # no white space, and what it leaves out is dropped.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -191,7 +193,7 @@ def pieces(
             path = public_tokenizers.path(TOKENIZER)
         coder = ChunkTokenizer(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, at = coder.encode(part.column(1).to_pylist())
                 yield _pieces_of(part.column(0).to_pylist(), ids, at)
 

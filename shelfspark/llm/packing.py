@@ -40,9 +40,7 @@ MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Bytes of chunks, words and their ids that a task keeps.
-KEPT_BYTES = 64 << 20
-# Bytes of text whose chunks are held at a time.
-SLICE = 1 << 20
+KEPT_BYTES = 80 << 20
 # How the given tokenizer takes words out of a normalised text, as its file says: the pattern matches
 # no white space, and what it leaves out is dropped.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -84,7 +82,9 @@ class IdTable:
 
     def gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the strings in a row, n + 1 offsets)."""
-        start, ids = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.uint32)
+        start, ids = np.frombuffer(self.start, np.int64), np.array([], np.uint32)
+        if self.ids:
+            ids = np.frombuffer(self.ids, np.uint32)
         first = start[codes]
         lengths = start[codes + 1] - first
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
@@ -126,33 +126,39 @@ class ChunkTokenizer:
         return bool(taken and plain and steps == NORMAL_STEPS and first["pattern"].get("Regex") == WORD_PATTERN)
 
     def clear(self) -> None:
-        self.words, self.chunks = IdTable(), IdTable()
+        self.table = IdTable()
 
     def _word(self, word: str) -> list[int]:
         raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return [token.id for token in self.model.tokenize(raw)]
 
     def _learn(self, fresh: list[str]) -> None:
+        """Words and chunks share one table: a word is also the chunk of that spelling."""
+        code = self.table.code
         plain, odd = [], []
         for chunk in fresh:
             (plain if _PLAIN.fullmatch(chunk) else odd).append(chunk)
-        found = _WORDS.findall("\n".join(plain).lower()) if plain else []
-        table = self.words.code
-        new = list(set(found) - table.keys() - {"\n"})
-        self._store(self.words, new, [self._word(w) for w in new])
-        # the words of all plain chunks in a row; a line end ends a chunk
-        codes = np.fromiter(map(table.get, found, repeat(-1)), np.int64, len(found))
-        words = codes[codes >= 0]
-        ids, ends = self.words.gathered(words)
-        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(codes >= 0)[codes < 0], np.array([len(words)])])
+        row = _WORDS.findall("\n".join(plain).lower()) if plain else []
+        words = list(set(row) - code.keys() - {"\n"})
+        self._store(words, [self._word(w) for w in words])
         if plain:
-            self.chunks.add(plain, ids, ends[at])
-        self._store(self.chunks, odd, [self.tokenizer.encode(c, add_special_tokens=False).ids for c in odd])
-
-    @staticmethod
-    def _store(table: IdTable, strings: list[str], ids: list[list[int]]) -> None:
+            # the words of all plain chunks in a row; a line end ends a chunk
+            codes = np.fromiter(map(code.get, row, repeat(-1)), np.int64, len(row))
+            ids, ends = self.table.gathered(codes[codes >= 0])
+            at = np.concatenate([np.zeros(1, np.int64), np.cumsum(codes >= 0)[codes < 0], np.array([(codes >= 0).sum()])])
+            new = np.fromiter((c not in code for c in plain), bool, len(plain))
+            sizes = np.diff(ends[at])
+            self.table.add(
+                [c for c, n in zip(plain, new.tolist()) if n],
+                ids[np.repeat(new, sizes)],
+                np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[new])]),
+            )
+        odd = [c for c in odd if c not in code]
+        self._store(odd, [self.tokenizer.encode(c, add_special_tokens=False).ids for c in odd])
+
+    def _store(self, strings: list[str], ids: list[list[int]]) -> None:
         flat = np.array([i for x in ids for i in x], np.uint32)
-        table.add(strings, flat, np.cumsum([0, *map(len, ids)]))
+        self.table.add(strings, flat, np.cumsum([0, *map(len, ids)]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, n + 1 offsets)."""
@@ -161,11 +167,11 @@ class ChunkTokenizer:
             return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0, *map(len, found)])
         counts = np.array([text.count(" ") + text.count("\n") + 1 for text in texts], np.int64)
         chunks = " ".join(texts).replace("\n", " ").split(" ")
-        if self.words.size() + self.chunks.size() > self.kept:
+        if self.table.size() > self.kept:
             self.clear()
-        self._learn(list(set(chunks) - self.chunks.code.keys()))
-        codes = np.fromiter(map(self.chunks.code.__getitem__, chunks), np.int64, len(chunks))
-        ids, ends = self.chunks.gathered(codes)
+        self._learn(list(set(chunks) - self.table.code.keys()))
+        codes = np.fromiter(map(self.table.code.__getitem__, chunks), np.int64, len(chunks))
+        ids, ends = self.table.gathered(codes)
         return ids, ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])]
 
 
@@ -191,9 +197,11 @@ def pieces(
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
+        # what earlier steps of this worker no longer use
+        pa.default_memory_pool().release_unused()
         coder = ChunkTokenizer(path)
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text"):
                 ids, at = coder.encode(part.column(1).to_pylist())
                 yield _pieces_of(part.column(0).to_pylist(), ids, at)
 

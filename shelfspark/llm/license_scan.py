@@ -1,14 +1,16 @@
 """License scans by a positional rare-token index.
 
-Licence templates are short word sequences. Their index maps a word to (template, position). Of the
-words of a template that a file holds, the ones with the highest inverse document frequency over all
-files are looked up, template by template, so several notices in one file do not crowd each other
-out; a posting puts the template's first word at (word's place - position), and places that enough
-postings agree on are alignments. An alignment counts when the template's mandatory phrase stands at
-its own relative place; templates whose phrase has a word that the file lacks are not looked up.
+Licence templates are short word sequences. Their index maps the words of a template's mandatory
+phrase to their positions. Of these the ones with the highest inverse document frequency over all
+files are looked up in a file, template by template, so several notices in one file do not crowd each
+other out; a posting puts the template's first word at (word's place - position), and the places that
+all looked-up words agree on are the alignments, which may begin before the file's first word. An
+alignment counts when the whole phrase stands at its relative place; the template's other words only
+tell how much of the notice is there (the score). So a label depends on its phrase alone, wherever it
+stands and whatever other licence words the file holds.
 Beside these, base phrases are found wherever their words stand in line.
 
-Two passes over the texts: one counts in how many files each licence word occurs (a few hundred
+Two passes over the texts: one counts in how many files each licence word occurs (a few dozen
 words, added up per task and then over tasks), one scans. No text is shuffled.
 
 Defined cases: null text is empty; a file without words has no places, no labels and score 0;
@@ -47,12 +49,25 @@ TEMPLATES = (
     ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the"
      " gnu general public license version 2", "gnu general public license version 2"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
+    ("gpl-3.0", "it under the terms of the gnu general public license as published by the free software foundation"
+     " either version 3 of the license",
+     "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2.0", "it under the terms of the gnu general public license as published by the free software foundation"
+     " either version 2 of the license",
+     "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("agpl", "licensed under the gnu affero general public license version 3", "affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
      "redistribution and use in source and binary forms"),
+    ("bsd-2-clause", "licensed under the bsd 2 clause license", "bsd 2 clause"),
+    ("bsd-3-clause", "licensed under the bsd 3 clause license", "bsd 3 clause"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"
+     " or promote products derived from this software", "nor the names of its contributors may be used to endorse or promote"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    ("mpl-2.0", "licensed under the mozilla public license version 2 0", "mozilla public license version 2 0"),
+    ("epl", "made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is"
      " hereby granted", "permission to use copy modify and or distribute"),
     ("unlicense", "this is free and unencumbered software released into the public domain",
@@ -60,10 +75,9 @@ TEMPLATES = (
 )
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-# A file looks up the rarest words it holds of each template, this many different ones if it has them.
-RARE_WORDS = 8
-# Share of a template's looked-up words that must agree on one place.
-AGREE = 0.6
+# Words of a template whose postings are intersected, the rarest first; more of them cost lookups and
+# save comparisons, the result is the same.
+RARE_WORDS = 3
 
 RESULT = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string,"
@@ -77,7 +91,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    """Word to position in each of the few templates."""
+    """Word to position in the mandatory phrases of the few templates."""
 
     def __init__(self, templates=TEMPLATES, base=BASE_PHRASES) -> None:
         self.labels = [label for label, _, _ in templates]
@@ -87,16 +101,15 @@ class Index:
             key = phrase.encode().split()
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             self.keys.append((at, key))
-        # word to its positions, for each template
+        # word of the phrase to its positions in the template, for each template
         self.postings: list[dict[bytes, list[int]]] = []
-        for words in self.words:
+        for at, key in self.keys:
             at_word: dict[bytes, list[int]] = {}
-            for i, word in enumerate(words):
+            for i, word in enumerate(key, at):
                 at_word.setdefault(word, []).append(i)
             self.postings.append(at_word)
         self.base = [(phrase.encode().split(), label) for phrase, label in base]
-        # the last word of every phrase, rarer than its first ones in running text
-        self.seen = {w for words in self.words for w in words} | {w for phrase, _ in self.base for w in phrase}
+        self.seen = {w for _, key in self.keys for w in key} | {w for phrase, _ in self.base for w in phrase}
 
 
 def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,7 +139,22 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", index:
     return {"files": totals.pop("", 0), "words": {w.encode(): n for w, n in totals.items()}}
 
 
-def _scan_one(words: list[bytes], index: Index, idf: dict[bytes, float], rare: int, agree: float):
+def _alignments(postings: dict[bytes, list[int]], places: dict[bytes, list[int]], looked_up: list[bytes]) -> set[int]:
+    """Places of the template's first word that all looked-up words agree on."""
+    # a word that the phrase repeats offers several; the true one is in every word's set
+    starts: set[int] | None = None
+    for word in looked_up:
+        if starts is None:
+            starts = {place - position for place in places[word] for position in postings[word]}
+        else:
+            held = {place - position for place in places[word] for position in postings[word]}
+            starts &= held
+        if not starts:
+            break
+    return starts or set()
+
+
+def _scan_one(words: list[bytes], index: Index, idf: dict[bytes, float], rare: int):
     """(base places as (start, label), {template label: agreement}) of one file."""
     base, scores = [], {}
     places: dict[bytes, list[int]] = {}
@@ -143,16 +171,13 @@ def _scan_one(words: list[bytes], index: Index, idf: dict[bytes, float], rare: i
         at, phrase = index.keys[template]
         if not all(w in places for w in phrase):
             continue
-        looked_up = sorted((w for w in postings if w in places), key=lambda w: (-idf.get(w, 0.0), w))[:rare]
-        votes: Counter = Counter()
-        for word in looked_up:
-            for position in postings[word]:
-                votes.update(place - position for place in places[word] if place >= position)
-        want = sum(len(postings[w]) for w in looked_up)
+        looked_up = sorted(postings, key=lambda w: (-idf.get(w, 0.0), w))[:rare]
         whole, label = index.words[template], index.labels[template]
-        for start, n in votes.items():
-            if n >= agree * want and words[start + at : start + at + len(phrase)] == phrase:
-                same = sum(a == b for a, b in zip(whole, words[start : start + len(whole)])) / len(whole)
+        for start in _alignments(postings, places, looked_up):
+            # the template may begin before the file does, its phrase may not
+            if start + at >= 0 and words[start + at : start + at + len(phrase)] == phrase:
+                there = words[max(start, 0) : start + len(whole)]
+                same = sum(a == b for a, b in zip(whole[max(-start, 0) :], there)) / len(whole)
                 scores[label] = max(scores.get(label, 0.0), same)
     return base, scores
 
@@ -164,9 +189,11 @@ def scan(
     templates=TEMPLATES,
     base=BASE_PHRASES,
     rare: int = RARE_WORDS,
-    agree: float = AGREE,
 ) -> DataFrame:
-    """One row per file: base places, base labels, all labels and the best agreement (0 to 1)."""
+    """One row per file: base places, base labels, all labels and the best agreement (0 to 1).
+
+    ``rare`` words of a template are looked up, at least one.
+    """
     index = Index(templates, base)
     counts = word_counts(docs, key, text, index)
     files = counts["files"]
@@ -178,7 +205,7 @@ def scan(
                 out = {name: [] for name in names}
                 for doc_id, value in zip(part.column(0), part.column(1)):
                     words = words_of(value.as_py())
-                    places, scores = _scan_one(words, index, idf, rare, agree)
+                    places, scores = _scan_one(words, index, idf, rare)
                     starts = [s for s, _ in places]
                     base_labels = sorted({label for _, label in places})
                     out["doc_id"].append(doc_id.as_py())

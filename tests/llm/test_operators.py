@@ -263,6 +263,39 @@ def test_license_scan_of_several_notices(spark):
         assert set(mix) <= set(got[i])
 
 
+def test_license_labels_depend_on_their_phrase_alone(spark):
+    """At a file's start and end, cut before the phrase, and beside all of the template's words."""
+    rng = random.Random(3)
+    rows, want = [], {}
+
+    def add(text, label):
+        want[len(rows)] = label
+        rows.append((len(rows), text))
+
+    for label, words, phrase in license_scan.TEMPLATES:
+        scattered = words.split() * 3
+        rng.shuffle(scattered)
+        for text in (words, f"so {words}", f"some words first {words}", phrase, f"{phrase} follows", f"{words} {' '.join(scattered)}",
+                     f"{' '.join(scattered)} {phrase}", f"{phrase} and {words} and {phrase}"):
+            add(text, label)
+    vocabulary = sorted({w for _, words, _ in license_scan.TEMPLATES for w in words.split()})
+    for _ in range(200):
+        parts = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        parts += rng.choice(license_scan.TEMPLATES)[2].split()[rng.randint(0, 1) :]
+        parts += [rng.choice(vocabulary) for _ in range(rng.randint(0, 3))]
+        add(" ".join(parts), None)
+    found = [
+        {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, rows), rare=rare).collect()} for rare in (1, license_scan.RARE_WORDS)
+    ]
+    for i, text in rows:
+        labels = {label for label, _, phrase in license_scan.TEMPLATES if f" {phrase} " in f" {text} "}
+        labels |= {label for phrase, label in license_scan.BASE_PHRASES if f" {phrase} " in f" {text} "}
+        for got in found:
+            assert got[i]["labels"] == ",".join(sorted(labels)), text
+            assert want[i] is None or want[i] in labels and got[i]["score"] > 0
+    assert min(r["score"] for i, r in found[0].items() if rows[i][1] in {words for _, words, _ in license_scan.TEMPLATES}) == 1
+
+
 # 4 URLs
 
 

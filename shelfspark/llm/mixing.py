@@ -11,17 +11,23 @@ squared distance of those totals from their targets, by projected gradient steps
 A step is one distributed sum of as many numbers as there are domains; only those reach the driver.
 A task recomputes its rates from the few residuals of the steps before, so no rates are stored.
 
-Rates become whole copies by a hash of the document id: r is kept in expectation. By default the
-targets' total is the smallest that asks no domain to shrink, so mixing repeats documents of scarce
-domains and throws none away.
+Rates become whole copies by a hash of the document id: r is kept in expectation. Without given
+weights the rates are held at 1 or more instead of 0, so mixing repeats documents of scarce domains and
+throws none away. The targets' total is the smallest that asks no domain to shrink and no document to
+fall below that bound: as G 1 is the tokens there are, shares s of a total W are met by the rates
+W * p . G^-1 s, so W is 1 over the smallest p . G^-1 s of all documents. Where that asks for more than
+MOST_RAISE times the tokens, or no total will do, the bound alone holds, and the fit says in a warning
+how far off its targets it ends.
 
 Defined cases: null text is empty and has no tokens; its posterior is the prior. Repeated rows are
 weighed each. Without labels there is one domain and every rate is 1. Domains without a target keep
-their tokens. An empty table gives no rows. Extra columns are ignored by ``rates`` and kept by ``mix``.
+their tokens. More than MOST_DOMAINS domains are refused (the driver holds FEATURES numbers for each, and
+their square). An empty table gives no rows. Extra columns are ignored by ``rates`` and kept by ``mix``.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +44,8 @@ FEATURES = 4096
 # Byte pairs of one text are not independent: evidence levels off at this many.
 EVIDENCE = 40.0
 STEPS = 30
+MOST_RAISE = 2.0
+MOST_DOMAINS = 500
 # Texts whose counts are held at a time: 16 MB.
 COUNTED = 256
 TOLERANCE = 1e-6
@@ -107,6 +115,8 @@ def fit_domains(labelled: DataFrame, domain: str = "domain", text: str = "text")
                         }
                     )
 
+    if known.select("domain").distinct().limit(MOST_DOMAINS + 1).count() > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
     # FEATURES + 1 sums for each domain
     sums = known.mapInArrow(counts, "domain string, feature long, n double")
     got = sums.groupBy("domain", "feature").agg(F.sum("n").alias("n")).toPandas()
@@ -127,11 +137,12 @@ class Mixture:
     before: np.ndarray
     after: np.ndarray
     steps: list[np.ndarray] = field(default_factory=list)
+    least: float = 0.0
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         r = np.ones(len(posteriors))
         for step in self.steps:
-            r = np.maximum(0.0, r - posteriors @ step)
+            r = np.maximum(self.least, r - posteriors @ step)
         return r
 
 
@@ -179,20 +190,30 @@ def default_weights(totals: np.ndarray, temperature: float = TEMPERATURE) -> np.
     return powered / powered.sum() if powered.sum() else powered
 
 
+def _lowest(members: DataFrame, u: np.ndarray) -> float | None:
+    """The smallest p . u of all documents; none without documents."""
+    each = F.zip_with("p", F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b)
+    return members.agg(F.min(F.aggregate(each, F.lit(0.0), lambda a, b: a + b))).first()[0]
+
+
 def fit_mixture(
     members: DataFrame,
     domains: Domains,
     weights: dict[str, float] | None = None,
     steps: int = STEPS,
     tolerance: float = TOLERANCE,
+    least: float | None = None,
 ) -> Mixture:
     """Find the steps to rates whose expected domain tokens are the targets.
 
-    ``weights`` are shares by domain name; without them, scarce domains gain by TEMPERATURE. The
-    total is the smallest that no domain has to shrink for.
+    ``weights`` are shares by domain name; without them, scarce domains gain by TEMPERATURE. Rates stay
+    at ``least`` or above: 0 with given weights, 1 without. The total is the smallest that no domain has
+    to shrink for, raised as far as a bound above 0 asks for. Targets that no rates reach (a domain no
+    document belongs to alone, a share of 0) are met as nearly as can be, with a warning.
     """
     k = len(domains.names)
-    mixture = Mixture(domains, np.zeros(k), np.zeros(k), np.zeros(k))
+    least = (1.0 if weights is None else 0.0) if least is None else least
+    mixture = Mixture(domains, np.zeros(k), np.zeros(k), np.zeros(k), least=least)
     totals, gram = _sums(members, mixture)
     share = default_weights(totals)
     if weights is not None:
@@ -200,16 +221,27 @@ def fit_mixture(
         share = share / share.sum()
     held = share > 0
     whole = (totals[held] / share[held]).max() if held.any() else 0.0
-    mixture.before = totals
-    mixture.targets = np.where(held, share * whole, totals)
     inverse = np.linalg.pinv(gram, rcond=1e-9)
+    if least > 0 and held.any() and not totals[~held].any():
+        lowest = _lowest(members, inverse @ share)
+        if lowest is not None and lowest > 0 and least / lowest <= MOST_RAISE * whole:
+            whole = max(whole, least / lowest)
+    before = totals
+    targets, last = np.where(held, share * whole, before), None
+    size = max(targets.sum(), 1.0)
     for _ in range(steps):
-        miss = totals - mixture.targets
-        if np.abs(miss).max() <= tolerance * max(mixture.targets.sum(), 1.0):
+        if np.abs(totals - targets).max() <= tolerance * size:
             break
-        mixture.steps.append(inverse @ miss)
+        # a bound may hold the rates: as near as they get
+        if last is not None and np.abs(totals - last).max() <= tolerance * 1e-3 * size:
+            break
+        last = totals
+        mixture.steps.append(inverse @ (totals - targets))
         totals, _ = _sums(members, mixture)
-    mixture.after = totals
+    off = np.abs(totals - targets).max() / size
+    if off > tolerance:
+        warnings.warn(f"domain totals end off their targets, by up to {off:.2g} of all tokens", stacklevel=2)
+    mixture.before, mixture.targets, mixture.after = before, targets, totals
     return mixture
 
 
@@ -248,9 +280,9 @@ def mix(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "tex
 
     copies = copies_of(rate(text_of(text)), F.col(f"`{key}`").cast("bigint"))
     repeated = F.array_repeat(F.lit(0), copies.cast("int"))
-    return docs.withColumn("__copies", repeated).withColumn("__copy", F.explode("__copies")).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    # the row in one struct: no column of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), repeated.alias("copies"))
+    return rows.select("row", F.explode("copies")).select("row.*")
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

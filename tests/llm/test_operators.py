@@ -556,6 +556,38 @@ def test_rates_are_the_least_squares_solution(spark):
     assert (rates >= 0).all() and loss(rates) <= loss(plain) + 1e-3 * abs(loss(np.ones(60)))
 
 
+def test_mixing_drops_no_short_or_ambiguous_text(spark):
+    """Texts between domains press rates under 1; all stay, and the totals still meet their targets."""
+    rng = random.Random(4)
+    shared, rows = "abba xyxy momo dada".split(), []
+    own = {"a": ["abba"], "x": ["xyxy"], "m": ["momo"]}
+    for i in range(600):
+        lang = "aaaaaxm"[i % 7]
+        rows.append((i, " ".join(rng.choice(shared + own[lang]) for _ in range(3))[:20], lang, 7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __copies int").repartition(3)
+    domains = mixing.fit_domains(mixing.labelled_documents(docs, docs.select("doc_id")))
+    members = mixing.memberships(docs, domains)
+    p = np.array([r["p"] for r in members.collect()])
+    assert (p.max(axis=1) < 0.9).mean() > 0.1
+    mixture = mixing.fit_mixture(members, domains)
+    assert np.allclose(mixture.after, mixture.targets, rtol=1e-4)
+    got = mixing.rates(members, mixture).toPandas()
+    assert got["rate"].min() >= 1 and got["copies"].min() >= 1
+    mixed = mixing.mix(docs, mixture)
+    assert mixed.columns == docs.columns
+    assert mixed.select("doc_id").distinct().count() == 600
+
+
+def test_mixing_says_when_it_ends_off_target(spark):
+    members = spark.createDataFrame([(i, 10, [0.5 + i / 100, 0.5 - i / 100]) for i in range(20)], "doc_id long, tokens long, p array<double>")
+    domains = mixing.Domains(["a", "b"], np.zeros(2), np.zeros((mixing.FEATURES, 2)))
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.fit_mixture(members, domains, {"a": 0.01, "b": 0.99})
+    many = spark.range(mixing.MOST_DOMAINS + 1).select(F.col("id").cast("string").alias("domain"), F.lit("t").alias("text"))
+    with pytest.raises(ValueError, match="domains"):
+        mixing.fit_domains(many)
+
+
 def test_mixing_cases(spark):
     docs = docs_of(spark, EDGES).withColumn("lang", F.lit("en"))
     none = spark.createDataFrame([], "doc_id long")

@@ -632,7 +632,11 @@ def product_links(
 def page_frontier(
     pages: DataFrame, keys: list[str], url: str = "url", position: str = "position_text"
 ) -> DataFrame:
-    """All pages still to come after ``page X of Y``: one offset URL each (keys, page, url)."""
+    """All pages still to come after ``page X of Y``: one offset URL each (keys, page, url).
+
+    Runs of pages are dealt over as many tasks as a shuffle has, so a huge total is no task of its own.
+    ``large_totals`` reports totals that no list can have.
+    """
     staged = pages.withColumn("_at", M.page_position(F.col(position))).filter(
         F.col("_at.page") < F.col("_at.pages")
     )
@@ -640,6 +644,8 @@ def page_frontier(
     runs = staged.select(
         *keys, url, "_at", F.explode(F.sequence(F.col("_at.page") + 1, F.col("_at.pages"), F.lit(RUN_OF_PAGES))).alias("_first")
     )
+    # dealt before pages are made; a number of its own, as merging by size would undo it
+    runs = runs.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_first")
     last = F.least(F.col("_first") + (RUN_OF_PAGES - 1), F.col("_at.pages"))
     numbered = runs.select(*keys, url, F.explode(F.sequence(F.col("_first"), last)).alias("page"))
     offset = (F.col("page") - 1) * S.PAGE_SIZE
@@ -648,6 +654,12 @@ def page_frontier(
     )
 
 
+def large_totals(pages: DataFrame, keys: list[str], most: int = 100_000, position: str = "position_text") -> DataFrame:
+    """Pages that speak of more than ``most`` pages in all (keys, pages, large); large is null without a position."""
+    at = M.page_position(F.col(position))
+    return pages.select(*keys, at.getField("pages").alias("pages"), (at.getField("pages") > most).alias("large"))
+
+
 def next_offset_url(url: Column) -> Column:
     """Next listing URL by offset alone: raise an existing offset by a page, else start page two."""
     found = F.regexp_extract(url, rf"{S.PAGE_OFFSET_PARAM}=(\d+)", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from shelfspark import schema
 from shelfspark.operators.dedupe import union_all
@@ -97,6 +97,49 @@ def snapshot_scan(spark, sf):
     return s.select("product_id", "title", "material_text", "best_seller", F.lit(len(s.columns)).alias("n_columns"))
 
 
+_DRIFTED_SQL = """(select product_id, case when ord % 3 = 0 then 'shelf ' || cast(ord as varchar) end as shelf,
+  case when ord % 3 = 1 then 'about ' || cast(ord % 5 as varchar) end as rating from {catalog})"""
+
+
+def _drifted(spark, sf):
+    """Early runs know a key that the schema lacks, later ones write some ratings as words."""
+    rows = view(spark, sf, "catalog").select("product_id", F.col("ord").cast("bigint").alias("ord"))
+    path = scratch(spark, "drifted")
+    shelf = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("shelf "), F.col("ord").cast("string"))).alias("shelf_mark")
+    early = rows.filter("ord % 3 <> 1").select("product_id", shelf, F.lit(4.5).alias("rating_avg"))
+    words = F.concat(F.lit("about "), (F.col("ord") % 5).cast("string")).alias("rating_avg")
+    writers.write_jsonl(early, f"{path}/early")
+    writers.write_jsonl(rows.filter("ord % 3 = 1").select("product_id", words), f"{path}/late")
+    return readers.read_drifting(spark, path, DRIFT_SCHEMA)
+
+
+DRIFT_SCHEMA = StructType([StructField("product_id", StringType()), StructField("rating_avg", DoubleType())])
+
+
+@query(
+    "s5_rescued_values",
+    f"""select product_id, shelf, rating, cast((shelf is not null)::int + (rating is not null)::int as integer) as n_rescued from {_DRIFTED_SQL}""",
+)
+def rescued_values(spark, sf):
+    r = F.col("rescued")
+    return _drifted(spark, sf).select(
+        "product_id",
+        F.try_element_at(r, F.lit("shelf_mark")).alias("shelf"),
+        F.try_element_at(r, F.lit("rating_avg")).alias("rating"),
+        F.size(r).alias("n_rescued"),
+    )
+
+
+@query(
+    "u2_drift_report",
+    f"""select 'shelf_mark' as key, 'unknown' as kind, cast(count(*) as bigint) as n_rows from {_DRIFTED_SQL} where shelf is not null having count(*) > 0
+      union all select 'rating_avg', 'mistyped', cast(count(*) as bigint) from {_DRIFTED_SQL} where rating is not null having count(*) > 0""",
+)
+def drift_by_key(spark, sf):
+    found = readers.drift_report(_drifted(spark, sf), DRIFT_SCHEMA)
+    return found.groupBy("key", "kind").agg(F.sum("n_rows").alias("n_rows"))
+
+
 @query("s6_page_scan", "select page_id, url, cast(length(html) as integer) as n_chars from pages")
 def page_scan(spark, sf):
     load(spark, sf, "pages")

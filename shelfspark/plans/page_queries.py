@@ -478,6 +478,17 @@ def page_frontier(spark, sf):
     return H.page_frontier(pages, ["page_id"])
 
 
+@query(
+    "h26_large_totals",
+    """select page_id, case when page_id % 3 > 0 then page_id % 5 * 50000 + 1 end as pages,
+      case when page_id % 3 > 0 then page_id % 5 * 50000 + 1 > 100000 end as large from pages""",
+)
+def large_totals(spark, sf):
+    total = F.concat(F.lit("Page 1 of "), (F.col("page_id") % 5 * 50000 + 1).cast("string"))
+    pages = load(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 3 > 0, total).alias("position_text"))
+    return H.large_totals(pages, ["page_id"])
+
+
 @query(
     "h27_next_page_urls",
     f"""select page_id, case when page_id % 4 + 1 > 1 then url || '?page=' || cast(page_id % 4 + 1 as varchar) else url end as by_number,

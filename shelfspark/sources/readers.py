@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from shelfspark.schema import FILE_SCHEMA
 
@@ -65,6 +65,48 @@ def read_snapshots(
     return reader.json(path).select("*", F.col("_metadata.file_name").alias("file"))
 
 
+# Key of a line that is no JSON object, in the column of rescued values.
+WHOLE_LINE = "_line"
+
+
+def read_drifting(
+    spark: SparkSession, path: str | list[str], schema: StructType = FILE_SCHEMA, rescue: str = "rescued"
+) -> DataFrame:
+    """Runs of JSON lines as ``read_snapshots`` gives them, with what the schema has no place for.
+
+    ``rescue`` maps each key that the schema lacks, and each key whose value does not fit its type, to
+    the value as text (nested ones as JSON). A line that is no object is held whole, under WHOLE_LINE.
+    Nothing rescued is an empty map; nulls, and unknown keys inside nested values, are not rescued.
+    Blank lines are skipped. Keys are told apart by case.
+    """
+    if rescue in schema.names:
+        raise ValueError(f"the schema has a column {rescue!r} of its own")
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    parsed = lines.filter(F.trim("value") != "").select(
+        F.from_json("value", schema).alias("row"),
+        F.from_json("value", MapType(StringType(), StringType())).alias("raw"),
+        F.col("value"),
+        F.col("_metadata.file_name").alias("file"),
+    )
+    fits = F.map_from_arrays(
+        F.array(*[F.lit(n) for n in schema.names]), F.array(*[F.col("row").getField(n).isNotNull() for n in schema.names])
+    )
+    lost = F.map_filter("raw", lambda k, v: v.isNotNull() & ~F.coalesce(F.try_element_at("fits", k), F.lit(False)))
+    whole = F.create_map(F.lit(WHOLE_LINE), F.col("value"))
+    return (
+        parsed.withColumn("fits", fits)
+        .withColumn("lost", F.when(F.col("raw").isNull(), whole).otherwise(lost))
+        .select(*[F.col("row").getField(n).alias(n) for n in schema.names], F.col("lost").alias(rescue), "file")
+    )
+
+
+def drift_report(rows: DataFrame, schema: StructType = FILE_SCHEMA, rescue: str = "rescued") -> DataFrame:
+    """(file, key, kind, n_rows) of what was rescued; kind is unknown, mistyped or unreadable."""
+    keys = rows.select("file", F.explode(F.map_keys(rescue)).alias("key"))
+    kind = F.when(F.col("key").isin(schema.names), "mistyped").when(F.col("key") == WHOLE_LINE, "unreadable").otherwise("unknown")
+    return keys.groupBy("file", "key").agg(F.count("*").alias("n_rows")).select("file", "key", kind.alias("kind"), "n_rows")
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw pages: a parquet table (page_id, url, html), or a folder of HTML files (url, html)."""
     if path.rstrip("/").endswith(".parquet"):

@@ -173,3 +173,15 @@ def test_links_survive_scripts_and_quotes(spark):
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     rows = H.product_links(pages, ["page_id"], SHOP.base).orderBy("pos").collect()
     assert [r.url for r in rows] == ["https://shop.example/p/a", "https://shop.example/p/b?x=1&y=2"]
+
+
+def test_a_huge_total_is_spread_over_tasks(spark):
+    rows = [(1, "https://s/c", "Page 1 of 300001"), (2, "https://s/d", "Page 2 of 3"), (3, "https://s/e", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, position_text string").coalesce(1)
+    found = H.page_frontier(pages, ["page_id"])
+    assert found.count() == 300_000 + 1
+    assert found.select("page_id", "page").distinct().count() == 300_001
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 200_000
+    large = {r["page_id"]: (r["pages"], r["large"]) for r in H.large_totals(pages, ["page_id"]).collect()}
+    assert large == {1: (300_001, True), 2: (3, False), 3: (None, None)}

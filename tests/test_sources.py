@@ -279,3 +279,38 @@ def test_scans_read_only_what_is_used(spark, sf_dir):
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan and "GreaterThan(page_id,3)" in plan
     assert isinstance(pages.schema, StructType)
+
+
+def test_no_value_of_a_drifting_run_vanishes(spark, tmp_path):
+    lines = [
+        '{"product_id": "1", "title": "Bag", "price_current": 10.5}',
+        '{"product_id": "2", "price_current": "ten", "shelf": {"row": [1, "x"]}, "note": null}',
+        '{"product_id": "3", "rating_count": 2.5, "Title": "case", "title": null}',
+        "",
+        "   ",
+        "not json",
+        '["a", "list"]',
+        '{"product_id": "4", "images": {"a": 1}, "is_new": "yes", "": "no key"}',
+    ]
+    write(tmp_path / "run.jsonl", "\n".join(lines))
+    rows = readers.read_drifting(spark, str(tmp_path))
+    assert rows.columns == [*schema.FILE_SCHEMA.names, "rescued", "file"]
+    got = {r["product_id"]: r for r in rows.filter("product_id is not null").collect()}
+    assert got["1"]["rescued"] == {} and (got["1"]["title"], got["1"]["price_current"]) == ("Bag", 10.5)
+    assert got["2"]["price_current"] is None
+    assert got["2"]["rescued"] == {"price_current": "ten", "shelf": '{"row":[1,"x"]}'}
+    assert got["3"]["rescued"] == {"rating_count": "2.5", "Title": "case"}
+    assert got["4"]["rescued"]["is_new"] == "yes" and got["4"]["rescued"][""] == "no key"
+    # every value of an object is in its column or among the rescued
+    for line in lines:
+        record = json.loads(line) if line.startswith("{") else {}
+        for key, value in record.items():
+            row = got[record["product_id"]]
+            assert value is None or key in row["rescued"] or row[key] is not None
+    whole = [r["rescued"] for r in rows.filter("product_id is null").collect()]
+    assert sorted(r[readers.WHOLE_LINE] for r in whole) == sorted(["not json", '["a", "list"]'])
+    report = {(r["key"], r["kind"]): r["n_rows"] for r in readers.drift_report(rows).collect()}
+    assert report[readers.WHOLE_LINE, "unreadable"] == 2
+    assert report["shelf", "unknown"] == report["price_current", "mistyped"] == 1
+    with pytest.raises(ValueError, match="title"):
+        readers.read_drifting(spark, str(tmp_path), rescue="title")

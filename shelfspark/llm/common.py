@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,14 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the system: workers live on through all stages of a job."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose text together stays near ``limit`` bytes; a longer text is a run of its own."""
     _, at = text_bytes(batch.column(batch.schema.get_field_index(column)))
@@ -57,6 +66,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = min(max(end, start + 1), rows)
         yield batch.slice(start, end - start)
         start = end
+    give_back()
 
 
 def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfspark.llm.common import read, slices
+from shelfspark.llm.common import give_back, read, slices
 from shelfspark.llm.registry import query
 
 MAX_LENGTH = 2048
@@ -197,8 +197,7 @@ def pieces(
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
-        # what earlier steps of this worker no longer use
-        pa.default_memory_pool().release_unused()
+        give_back()
         coder = ChunkTokenizer(path)
         for batch in batches:
             for part in slices(batch, "text"):

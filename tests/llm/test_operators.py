@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and its defined cases."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -635,6 +636,71 @@ def test_warc_finds_a_changed_payload(spark, tmp_path):
         warc.read_warc(spark, str(tmp_path / "v")).collect()
 
 
+def test_warc_records_hold_the_fields_of_the_format(spark, tmp_path):
+    big = "é\r\n" * 40_000
+    pages = spark.createDataFrame([(1, "http://a/", "same"), (2, "http://b/", "same"), (3, "http://c/", big)], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc.write_warc(pages.coalesce(1), folder, date="2024-05-06T07:08:09Z")
+    raw = b"".join(gzip.open(f).read() for f in sorted((tmp_path / "w").glob("*.gz")))
+    records, seen = [], 0
+    while seen < len(raw):  # by Content-Length, as any reader does
+        head, _, rest = raw[seen:].partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines)
+        assert version == "WARC/1.1"
+        length = int(fields["Content-Length"])
+        block, end = rest[:length], rest[length : length + 4]
+        assert end == b"\r\n\r\n"
+        records.append((fields, block))
+        seen += len(head) + 4 + length + 4
+    ids = [f["WARC-Record-ID"] for f, _ in records]
+    assert len(set(ids)) == len(ids) and all(f["WARC-Date"] == "2024-05-06T07:08:09Z" for f, _ in records)
+    kinds = {f["WARC-Record-ID"]: (f, b) for f, b in records}
+    revisit = next(f for f, _ in records if f["WARC-Type"] == "revisit")
+    assert revisit["WARC-Profile"].endswith("identical-payload-digest")
+    assert kinds[revisit["WARC-Refers-To"]][0]["WARC-Target-URI"] == "http://b/"
+    assert all(f["Content-Type"] == "application/http;msgtype=response" for f, _ in records if f["WARC-Type"] != "continuation")
+    origin = next(i for i, (f, _) in kinds.items() if f["WARC-Target-URI"] == "http://c/" and f["WARC-Type"] == "response")
+    parts = [(f, b) for i, (f, b) in kinds.items() if i == origin or f.get("WARC-Segment-Origin-ID") == origin]
+    parts.sort(key=lambda p: int(p[0]["WARC-Segment-Number"]))
+    assert len(parts) > 2 and [int(f["WARC-Segment-Number"]) for f, _ in parts] == list(range(1, len(parts) + 1))
+    whole = b"".join(b for _, b in parts)
+    assert whole.partition(b"\r\n\r\n")[2] == big.encode() and int(parts[-1][0]["WARC-Segment-Total-Length"]) == len(whole)
+    assert warc.read_warc(spark, folder).filter("page_id = 3").first()["payload_bytes"] == len(big.encode())
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    body = b"<p>body</p>"
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+
+    def record(block: bytes, *lines: str) -> bytes:
+        return "\r\n".join(["WARC/1.1", *lines, f"content-length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    made = [
+        record(b"software: x\r\n", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"),
+        record(b"GET / HTTP/1.1\r\n\r\n", "WARC-Type: request", "WARC-Record-ID: <urn:uuid:2>", "Content-Type: application/http;msgtype=request"),
+        record(http + body, "warc-type:response", "WARC-Record-ID: <urn:uuid:3>", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"),
+        record(b"plain", "WARC-Type: resource", "WARC-Record-ID: <urn:uuid:4>", "Content-Type: text/plain"),
+    ]
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))  # a member for each record
+    found = warc.read_warc(spark, str(tmp_path / "other.warc.gz")).collect()
+    plain = base64.b32encode(hashlib.sha1(b"plain").digest()).decode()
+    assert {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in found} == {
+        (None, len(body), digest, "response"), (None, 5, plain, "response")}
+    assert len(found) == 2
+
+
+def test_warc_misses_lost_segments(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "0123456789" * 10)], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"), chunk_bytes=40)
+    table = warc.read_chunks(spark, str(tmp_path / "w"))
+    for lost in (1, 2, 3):
+        rows = table.filter(F.col("segment") != lost).coalesce(1).sortWithinPartitions("origin", "segment")
+        with pytest.raises(Exception, match="missing"):
+            warc._verify(rows).collect()
+
+
 # 10 surrogates
 
 

@@ -9,10 +9,11 @@ group ends; all tokens of a group's two sides are linked.
 The installed sentencepiece has no immutable proto any more; its offset mapping holds the same
 spans.
 
-Texts are cut into chunks at blanks and line ends after other characters, and at points and commas
-after common letters, where neither tokenizer joins anything (both files are checked for that; with
-others a text is one chunk). Tokens and groups
-of a chunk are worked out once per task and kept up to a bound in bytes; longer chunks are not kept.
+Texts are cut into chunks at blanks and line ends after other characters, and at punctuation marks
+after common letters, where neither tokenizer joins anything (both files are checked for that; marks
+that the piece file joins to letters are not cut off, and with other rules a text is one chunk).
+Tokens and groups of a chunk are worked out once and kept up to a bound in bytes; when it is reached,
+chunks that came more than once stay, the most frequent ones first. Longer chunks are not kept.
 
 Counts of linked id pairs are taken over all documents. The pairs held by most documents, at most
 ``FREQUENT`` of them, are broadcast to the stored links; the rest, by that choice rare, are joined
@@ -28,9 +29,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +46,20 @@ PIECE_TOKENIZER = "piece_bpe_32k.model"
 # Bytes of chunk alignments that a task keeps, and the longest chunk it keeps.
 KEPT_BYTES = 96 << 20
 KEPT_CHUNK = 64
-# Characters of chunks that are tokenised in a row.
+# Characters of chunks that are tokenised in a row, and of texts that are cut at a time.
 ROW = 1 << 16
-# Letters after which points and commas are cut off.
+WINDOW = 1 << 20
+# Letters after which marks are cut off; no mark is a letter, digit or blank to either tokenizer.
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+MARKS = string.punctuation
+# Kinds of pieces that no text is matched with: unknown, control and byte pieces.
+UNMATCHED = {2, 3, 6}
 # Groups with more links than this are linked id by id, not occurrence by occurrence.
 SMALL_GROUP = 64
 # Id pairs that are broadcast (long, long, boolean): 10 MB.
 FREQUENT = 1 << 18
+# Kinds of characters, as bits: blank or ▁; blank or line end; LETTER; mark.
+SPACE, CUT_OFF, LETTERS, MARK = 1, 2, 4, 8
 # An id pair as one number: a << PAIR | b.
 PAIR = 32
 
@@ -168,10 +176,6 @@ def _linked(ids_a: np.ndarray, of_a: np.ndarray, ids_b: np.ndarray, of_b: np.nda
 class ChunkAligner:
     """Aligned tokens of chunks of text, each worked out once while it is kept."""
 
-    # a blank or line end that follows another character, and is followed by any; a point or comma
-    # that follows a letter
-    _CUT = re.compile(rf"(?<=[^\s▁])(?=[ \n].)|(?<={LETTER})(?=[.,])", re.DOTALL)
-
     def __init__(self, byte_file: str, piece_file: str, kept: int = KEPT_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
@@ -198,6 +202,8 @@ class ChunkAligner:
         with open(byte_file, encoding="utf-8") as file:
             rules = json.load(file)
         self.by_chunk = self._cuts_are_safe(rules, model)
+        self.marks = self._free_marks(model)
+        self.kinds = self._kinds(self.marks)
         self.clear()
 
     @staticmethod
@@ -208,31 +214,113 @@ class ChunkAligner:
         plain_a = plain_a and step.get("use_regex", False) and not step.get("add_prefix_space", True)
         normal, kinds = model.normalizer_spec, {p.type for p in model.pieces}
         plain_b = normal.name == "identity" and normal.add_dummy_prefix and not normal.remove_extra_whitespaces
-        joined = re.compile(f"[^▁]▁|.\n|\n.|{LETTER}[.,]", re.DOTALL)
+        # added tokens that are not special are matched before texts are cut into words
+        plain_a = plain_a and all(t["special"] for t in rules.get("added_tokens") or [])
+        joined = re.compile("[^▁]▁|.\n|\n.", re.DOTALL)
         # 2: BPE; 4: pieces that the user defined are matched whatever stands around them
         plain_b = plain_b and model.trainer_spec.model_type == 2 and 4 not in kinds
         return plain_a and plain_b and not any(joined.search(p.piece) for p in model.pieces)
 
+    @staticmethod
+    def _free_marks(model) -> str:
+        """The marks that no piece joins to a letter before them."""
+        joined = re.compile(f"{LETTER}([{re.escape(MARKS)}])")
+        met = {m for p in model.pieces if p.type not in UNMATCHED for m in joined.findall(p.piece)}
+        return "".join(m for m in MARKS if m not in met)
+
+    @staticmethod
+    def _kinds(marks: str) -> np.ndarray:
+        """What each character is, up to the last blank one: characters from there on are none of these."""
+        kinds = np.zeros(0x3002, np.uint8)
+        for i in range(len(kinds) - 1):
+            c = chr(i)
+            kinds[i] = (
+                SPACE * (c.isspace() or c == "▁")
+                | CUT_OFF * (c in " \n")
+                | LETTERS * bool(re.fullmatch(LETTER, c))
+                | MARK * (c in marks)
+            )
+        return kinds
+
     def clear(self) -> None:
         self.code: dict[str, int] = {}
         self.groups: list[str] = []
         self.figures = array("q")
         self.pairs, self.times, self.start = array("q"), array("q"), array("q", [0])
+        self.used = np.zeros(0, np.int64)
         self.held = 0
 
-    def chunks(self, text: str) -> list[str]:
-        """The pieces of blank + text that are aligned each on its own."""
-        whole = " " + text
-        return self._CUT.split(whole) if self.by_chunk else [whole]
+    def _thin(self) -> None:
+        """Make room: of the chunks that came more than once, the most frequent ones stay, up to half
+        of the bound. Their counts are halved, so that chunks that come no more go in the end."""
+        chunks = list(self.code)
+        codes = np.fromiter(self.code.values(), np.int64, len(chunks))
+        start = np.array(self.start)
+        links = np.diff(start)[codes]
+        said = np.fromiter(map(len, self.groups), np.int64, len(self.groups))[codes]
+        size = self._bytes(np.fromiter(map(len, chunks), np.int64, len(chunks)), links, said)
+        used = self.used[codes]
+        order = np.argsort(-used, kind="stable")
+        order = order[(used[order] > 1) & (np.cumsum(size[order]) <= self.kept // 2)]
+        codes, links = codes[order], links[order]
+        at = np.arange(int(links.sum())) + np.repeat(start[codes] - (np.cumsum(links) - links), links)
+        groups = [self.groups[c] for c in codes.tolist()]
+        # copies, as the tables are about to go
+        figures = np.array(self.figures).reshape(-1, 4)[codes]
+        pairs, times = np.array(self.pairs)[at], np.array(self.times)[at]
+        self.clear()
+        self.code = {chunks[i]: code for code, i in enumerate(order.tolist())}
+        self.groups = groups
+        self.figures.frombytes(figures.tobytes())
+        self.pairs.frombytes(pairs.tobytes())
+        self.times.frombytes(times.tobytes())
+        self.start.frombytes(np.cumsum(links).tobytes())
+        self.used = used[order] // 2
+        self.held = int(size[order].sum())
+
+    @staticmethod
+    def _bytes(length: np.ndarray, links: np.ndarray, said: np.ndarray) -> np.ndarray:
+        """Bytes that chunks take, from their characters, links and characters of groups."""
+        return 270 + length + 16 * links + said
+
+    def chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pieces of blank + text that are aligned each on its own, of all texts; and how many each has.
+
+        They are cut before a blank or line end that follows another character and is followed by any,
+        and before a mark that follows a letter.
+        """
+        held = [" " + t for t in texts if t]
+        counts = np.array([bool(t) for t in texts], np.int64)
+        if not self.by_chunk or not held:
+            return held, counts
+        whole = "".join(held)
+        ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))
+        cut = np.zeros(len(whole) + 1, bool)
+        for first in range(1, len(whole), WINDOW):
+            # with the character before
+            codes = np.frombuffer(whole[first - 1 : first + WINDOW].encode("utf-32-le"), np.uint32)
+            kind = self.kinds[np.minimum(codes, len(self.kinds) - 1)]
+            before, here = kind[:-1], kind[1:]
+            blank = (here & CUT_OFF > 0) & (before & SPACE == 0)
+            cut[first : first + len(here)] = blank | (before & LETTERS > 0) & (here & MARK > 0)
+        # a blank at the end of a text stays with what is before it
+        cut[[end - 1 for end in ends.tolist() if whole[end - 1] in " \n"]] = False
+        cut[0] = True
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        counts[counts > 0] = np.diff(np.searchsorted(at, ends), prepend=0)
+        bounds = at.tolist()
+        return [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:])], counts
 
     def _learn(self, fresh: set[str]) -> None:
         """Chunks are tokenised in rows, where they are cut from one another as in their texts."""
         row, size = [], 0
-        # a row begins with a blank or a line end, and a point or comma follows a letter
+        # a row begins with a blank or a line end, and a mark follows a letter
         for chunk in sorted(fresh):
-            alone = not self.by_chunk or len(chunk) == 1 or row and (row[-1][-1].isspace() or row[-1][-1] == "▁")
-            marked = self.by_chunk and chunk[0] in ".,"
-            if row and (size + len(chunk) > ROW or alone and not marked):
+            marked = self.by_chunk and chunk[0] in self.marks
+            alone = not self.by_chunk or len(chunk) == 1 and not marked
+            # nothing is cut off after a blank
+            if row and (size + len(chunk) > ROW or alone or row[-1][-1].isspace() or row[-1][-1] == "▁"):
                 self._add(row)
                 row, size = [], 0
             if marked:
@@ -291,14 +379,14 @@ class ChunkAligner:
         counts = [np.bincount(x, minlength=n) for x in (own_a, own_b, group_owner)]
         links = np.zeros(n, np.int64)
         np.add.at(links, owner, times)
-        self.figures.extend(np.stack([*counts, links], axis=1).ravel().tolist())
+        self.figures.frombytes(np.stack([*counts, links], axis=1).astype(np.int64).tobytes())
         said = self._said(ids_a, of_a, own_a, ids_b, of_b, own_b, n)
         self.code.update(zip(chunks, range(len(self.groups), len(self.groups) + n)))
         self.groups.extend(said)
         base = len(self.pairs)
-        self.pairs.extend(pairs.tolist())
-        self.times.extend(times.tolist())
-        self.start.extend((base + np.searchsorted(owner, np.arange(1, n + 1))).tolist())
+        self.pairs.frombytes(pairs.tobytes())
+        self.times.frombytes(times.tobytes())
+        self.start.frombytes((base + np.searchsorted(owner, np.arange(1, n + 1))).tobytes())
         self.held += 270 * n + len(text) + 16 * len(pairs) + sum(map(len, said))
 
     @staticmethod
@@ -320,23 +408,29 @@ class ChunkAligner:
     def align(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(groups, n x 4 figures, n + 1 offsets, pairs, times) of texts; the pairs of one differ."""
         if self.held > self.kept:
-            self.clear()
-        parts = [self.chunks(t) if t else [] for t in texts]
-        fresh = set().union(*parts) - self.code.keys()
+            self._thin()
+        chunks, counts = self.chunks(texts)
+        flat = np.fromiter(map(self.code.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(flat < 0)
+        unknown = [chunks[i] for i in missing.tolist()]
+        fresh = set(unknown)
         self._learn(fresh)
-        counts = np.array([len(p) for p in parts], np.int64)
-        flat = np.fromiter(map(self.code.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        flat[missing] = np.fromiter(map(self.code.__getitem__, unknown), np.int64, len(unknown))
         owner = np.repeat(np.arange(len(texts)), counts)
         table = np.frombuffer(self.figures, np.int64).reshape(-1, 4) if self.figures else np.zeros((0, 4), np.int64)
         # a chunk that is not spelt makes its text one without tokens
         odd = np.zeros(len(texts), bool)
         odd[owner[table[flat, 0] == 0]] = True
         flat, owner = flat[~odd[owner]], owner[~odd[owner]]
+        used = np.bincount(flat, minlength=len(self.groups))
+        used[: len(self.used)] += self.used
+        self.used = used
         counts[odd] = 0
-        codes, at = flat.tolist(), np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]).tolist()
-        groups = [";".join([self.groups[c] for c in codes[i:j]]) for i, j in zip(at[:-1], at[1:])]
-        figures = np.zeros((len(texts), 4), np.int64)
-        np.add.at(figures, owner, table[flat])
+        codes, at = flat.tolist(), np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        groups = [";".join([self.groups[c] for c in codes[i:j]]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        total = np.zeros((len(flat) + 1, 4), np.int64)
+        np.cumsum(table[flat], axis=0, out=total[1:])
+        figures = total[at[1:]] - total[at[:-1]]
         links = self._links(owner, flat, len(texts))
         if any(len(c) > KEPT_CHUNK for c in fresh):
             self._forget_long()

@@ -149,6 +149,64 @@ def test_files_that_join_over_blanks_are_not_cut():
     assert not safe(rules, model)
 
 
+def aligner(**given):
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return alignment.ChunkAligner(*map(public_tokenizers.path, names), **given)
+
+
+def said(groups):
+    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+
+
+def test_marks_are_cut_off_letters(plain, monkeypatch):
+    found = aligner()
+    chunks, counts = found.chunks(["word*** word&&&, l'eau", "", "a\n\n b. ", "12.5 x\n"])
+    assert chunks == [" word", "***", " word", "&&&,", " l", "'eau", " a", "\n\n b", ". ", " 12.5", " x\n"]
+    assert counts.tolist() == [6, 0, 3, 2]
+    rng = random.Random(8)
+    parts = [*alignment.MARKS, *alignment.MARKS, "don", "s", "é", "straße", "ll", "7", " ", "\n", "日", "Ω", " the", "  ", "▁", "\u2028"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
+    assert found.align(texts)[0] == [said(plain.groups(t)) for t in texts]
+    # texts longer than what is cut at a time
+    whole = found.chunks(texts)
+    monkeypatch.setattr(alignment, "WINDOW", 7)
+    cut = found.chunks(texts)
+    assert cut[0] == whole[0] and cut[1].tolist() == whole[1].tolist()
+
+
+def test_frequent_chunks_outlive_a_full_table(plain):
+    small, learnt = aligner(kept=20_000), []
+    add = small._add
+    small._add = lambda row: (learnt.extend(row), add(row))
+    rare = iter(range(10_000))
+    for _ in range(40):
+        texts = [f"the same words again number{''.join(chr(97 + int(d)) for d in str(next(rare)))}" for _ in range(10)]
+        groups, figures, *_ = small.align(texts)
+        assert groups == [said(plain.groups(t)) for t in texts]
+        assert figures[:, 2].tolist() == [len(plain.groups(t)) for t in texts]
+    # chunks of every text are worked out once, although the table was full many times
+    assert learnt.count(" same") == 1 and len(small.code) < 200
+    # counts fade: what comes no more makes room
+    for k in range(30):
+        small.align([f"other {'x' * (k + 5)} chunks {'y' * (j + k + 5)}" for j in range(25) for _ in range(2)])
+    assert " same" not in small.code and " chunks" in small.code
+
+
+def test_marks_that_the_model_joins_stay():
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model.ParseFromString(file.read())
+    assert alignment.ChunkAligner._free_marks(model) == alignment.MARKS
+    model.pieces.add(piece="▁etc!.", score=-1, type=1)
+    assert alignment.ChunkAligner._free_marks(model) == alignment.MARKS.replace("!", "")
+    rules = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}}
+    safe = alignment.ChunkAligner._cuts_are_safe
+    assert safe(rules, model)
+    assert not safe(rules | {"added_tokens": [{"content": "a b", "special": False}]}, model)
+
+
 def test_defined_cases(spark, plain):
     rows = [(1, None), (2, ""), (None, "no id"), (5, "Two words"), (5, "Two words"), (6, "word " * 60_000), (7, "é日本 🎉" * 3)]
     assert rows_of(spark, rows) == brute(plain, rows)

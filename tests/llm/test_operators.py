@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from tokenizers import Tokenizer
 
 from shelfspark.llm import (
@@ -412,6 +412,22 @@ def test_jaccard_join(spark, texts, monkeypatch, hot, node):
     assert found.count() == len(rows)
 
 
+def test_shingles_of_the_same_points_are_one_block(spark):
+    held = {**{k: [1, 2] for k in range(20)}, 30: [1, 2, 3], 31: [3, 2, 1], 40: [2, 3], 41: [4, 7], 50: [5, 5, 6], 51: [5, 6], 60: [-9, 8]}
+    rows = spark.createDataFrame([(i, k) for k, ids in held.items() for i in ids], "id long, key long").repartition(4)
+    of_key = Window.partitionBy("key")
+    shared = rows.withColumn("members", F.count(F.lit(1)).over(of_key)).withColumn("block", jaccard_join._block_of(of_key))
+    blocks = {}
+    for r in jaccard_join._blocks_of_points(shared).collect():
+        blocks.setdefault(r["key"], []).append(r["id"])
+    # one block for each set of points, which moves once however many shingles they share
+    assert sorted(map(sorted, blocks.values())) == [[-9, 8], [1, 2], [1, 2, 3], [2, 3], [4, 7], [5, 6], [5, 6]]
+    # more points than sums hold
+    many = spark.range(200_000).select("id", F.lit(1).alias("key"))
+    many = many.withColumn("members", F.count(F.lit(1)).over(of_key)).withColumn("block", jaccard_join._block_of(of_key))
+    assert many.select("members", "block").distinct().count() == 1
+
+
 def test_jaccard_join_keeps_one_of_each(spark, texts):
     rows = [(i, t) for i, t in texts] + [(None, "no id"), (3, texts[3][1])]
     kept = jaccard_join.one_of_each(docs_of(spark, rows))

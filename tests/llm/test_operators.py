@@ -29,7 +29,7 @@ from shelfspark.llm import (
     url_filter,
     warc,
 )
-from shelfspark.llm.common import slices, text_bytes, word_hashes
+from shelfspark.llm.common import slices, stored, text_bytes, word_hashes
 from shelfspark.llm.shingles import shingle_sets
 
 DOCS = "doc_id long, text string, kept string, id long, n long"
@@ -96,6 +96,25 @@ def test_components_of_random_graphs(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [4, 1 << 18])
+def test_components_take_few_rounds(spark, monkeypatch, chunk):
+    rng = random.Random(5)
+    n = 1500
+    # a path, a node that many hang on, one that hangs on many, and copies of edges
+    edges = [(i, i + 1) for i in range(-n, n)] + [(10**6, 10**6 + i) for i in range(1, n)] + [(3 * 10**6, 2 * 10**6 + i) for i in range(n)]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in edges + edges[::3]]
+    rng.shuffle(edges)
+    want = {i: -n for i in range(-n, n + 1)} | {10**6 + i: 10**6 for i in range(n)}
+    want |= {2 * 10**6 + i: 2 * 10**6 for i in range(n)} | {3 * 10**6: 2 * 10**6}
+    written = []
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    monkeypatch.setattr(graph, "stored", lambda df, label: written.append(label) or stored(df, label))
+    found = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()
+    assert len(found) == len(want) and dict(map(tuple, found)) == want
+    # two tables a round; chunks that hold a task's edges leave no more than one tree a task
+    assert len(written) <= (1 + 2 * 8 if chunk == 4 else 1 + 2 * 3)
+
+
 # 1 nearest neighbours
 
 

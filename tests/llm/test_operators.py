@@ -431,6 +431,23 @@ def test_jaccard_join(spark, texts, monkeypatch, hot, node):
     assert found.count() == len(rows)
 
 
+def test_jaccard_join_writes_each_table_once_and_few_rounds(spark, monkeypatch):
+    words = [f"w{i}" for i in range(160)]
+    # each text is close to the next one only, so classes hang together over many links
+    rows = [(7 * i % 41, " ".join(words[2 * i : 2 * i + 40])) for i in range(41)] + [(100, " ".join(words[:40])), (101, None)]
+    written = []
+    keep = lambda df, label: written.append(label) or stored(df, label)
+    monkeypatch.setattr(jaccard_join, "stored", keep)
+    monkeypatch.setattr(graph, "stored", keep)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = jaccard_join.similar_documents(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == components_by_hand(rows)
+    once = ["frequent", "points", "shared", "met", "held", "crowd-members", "placed", "nodes"]
+    rounds = [label for label in written if label in ("jaccard-crowd-edges", "jaccard-links")]
+    assert [label for label in written if label not in rounds] == [f"jaccard-{label}" for label in once]
+    assert len(rounds) <= 2 * (1 + 2 * 3)
+
+
 def test_shingles_of_the_same_points_are_one_block(spark):
     held = {**{k: [1, 2] for k in range(20)}, 30: [1, 2, 3], 31: [3, 2, 1], 40: [2, 3], 41: [4, 7], 50: [5, 5, 6], 51: [5, 6], 60: [-9, 8]}
     rows = spark.createDataFrame([(i, k) for k, ids in held.items() for i in ids], "id long, key long").repartition(4)

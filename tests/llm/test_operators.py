@@ -464,6 +464,64 @@ def test_shingles_of_the_same_points_are_one_block(spark):
     assert many.select("members", "block").distinct().count() == 1
 
 
+def test_close_sets_share_as_many_of_their_rarest_as_needed():
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 120))
+        a = rng.permutation(400)[:n]
+        b = np.unique(np.append(a[rng.random(n) < rng.uniform(0.8, 1)], rng.integers(400, 800, int(rng.integers(0, 1 + n // 5)))))
+        a, both = np.sort(a), len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+            met += 1
+            shared = np.intersect1d(a[: jaccard_join.rarest(len(a))], b[: jaccard_join.rarest(len(b))])
+            assert len(shared) >= jaccard_join.needed_shared(len(a), len(b)) >= 1
+    assert met > 50
+    assert jaccard_join.needed_shared(np.array([1, 80, 900]), np.array([1, 100, 900])).tolist() == [1, 1, 81]
+
+
+def test_fine_counts_of_many_points_bound_as_those_of_two():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1)) for n in (1, 40, 300, 310, 700, 1500, 1600)]
+    sets.append(np.arange(3000, dtype=np.uint64))  # all in one group
+    packed = [jaccard_join.fine_counts(x) for x in sets]
+    fine = jaccard_join.FineCounts(packed)
+    for i in range(len(sets)):
+        others = np.array([j for j in range(len(sets)) if j != i][::-1])
+        assert fine.bounds(i, others).tolist() == [jaccard_join.fine_bound(packed[i], packed[j]) for j in others]
+    assert fine.bounds(0, np.zeros(0, np.int64)).tolist() == []
+
+
+@pytest.mark.parametrize("hot, block", [(64, 1024), (64, 8), (8, 1024)])
+def test_long_texts_that_share_a_line_are_no_crowd(spark, monkeypatch, hot, block):
+    """Count vectors of 64 groups do not tell long texts apart; what they share does."""
+    rng = random.Random(11)
+    line = " ".join(f"line{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2500 + 3 * i)) for i in range(40)]
+    rows = [(i, f"{t}\n{line}") for i, t in enumerate(texts)]
+    rows += [(50, f"{texts[7]}\nnew words at the end"), (51, "of its own")]
+    held, keep = {}, jaccard_join.stored
+
+    def watched(df, label):
+        held[label] = keep(df, label)
+        return held[label]
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    known = jaccard_join.frequent_shingles
+    if hot == 64:  # as in a table so large that the line's share of it is too small to be known
+        monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda *a: tuple(x[:0] for x in known(*a)))
+    else:  # and where it is known, but so are all others
+        every = np.unique(np.concatenate(shingle_sets(*text_bytes(pa.array([t for _, t in rows])))))
+        monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda *a: (every, np.full(len(every), 40)))
+    found = jaccard_join.similar_documents(docs_of(spark, rows))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == components_by_hand(rows)
+    # only the two near copies are verified on their sets, and only they were listed as a pair
+    assert sorted(r.id for r in held["jaccard-crowd-members"].collect()) == [7, 50]
+    assert held["jaccard-met"].filter("sure = 0").count() <= 1
+
+
 def test_jaccard_join_keeps_one_of_each(spark, texts):
     rows = [(i, t) for i, t in texts] + [(None, "no id"), (3, texts[3][1])]
     kept = jaccard_join.one_of_each(docs_of(spark, rows))

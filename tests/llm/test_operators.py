@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -522,6 +523,20 @@ def test_long_texts_that_share_a_line_are_no_crowd(spark, monkeypatch, hot, bloc
     assert held["jaccard-met"].filter("sure = 0").count() <= 1
 
 
+def test_the_pipeline_sends_no_sets_of_long_texts_that_share_a_line(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2500 + 3 * i)) for i in range(40)]
+    line = " ".join(f"line{i}" for i in range(60))
+    rows = [(i, f"{t}\n{line}") for i, t in enumerate(texts)] + [(50, f"{texts[7]}\nnew words"), (None, texts[7])]
+    held, keep, known = {}, jaccard_join.stored, jaccard_join.frequent_shingles
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, label: held.setdefault(label, keep(df, label)))
+    # as in a table so large that the line's share of it is too small to be known
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda *a: tuple(x[:0] for x in known(*a)))
+    kept = corpus_pipeline.keep_dissimilar(spark, docs_of(spark, rows), "")
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*range(40), None])
+    assert sorted(r.id for r in held["jaccard-crowd-members"].collect()) == [7, 50]
+
+
 def test_jaccard_join_keeps_one_of_each(spark, texts):
     rows = [(i, t) for i, t in texts] + [(None, "no id"), (3, texts[3][1])]
     kept = jaccard_join.one_of_each(docs_of(spark, rows))
